@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, tokens
+from fieldloom.llm import bpe, mixing, quality, rules, tokens
 from fieldloom.llm.shared import documents
 
 
@@ -27,8 +27,28 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.per_document(documents(spark, sf_dir).select("doc_id", "source", "text"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that aren't held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model, feats = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(feats, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op7_weighted_mix": op7_weighted_mix,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quality_qda": op10_quality_qda,
 }
 ORACLES: dict[str, str] = {}
