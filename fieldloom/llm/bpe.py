@@ -11,7 +11,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A text is cut at these before anything else; the tokenizer drops white space, and no rule of it reaches across.
-CUTS = regex.compile(r"[ \n]+")
 #: Words kept in a worker's memory. Beyond it the older half goes; results don't depend on it.
 CACHED_WORDS = 300_000
 
@@ -34,25 +32,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class TwoGenerations(dict):
-    """A bounded cache: a full young generation becomes the old one, and what is used again comes back."""
+def cut(text: str) -> list[str]:
+    """The parts between blanks and line ends; the tokenizer drops white space, and no rule of it reaches across."""
+    return text.replace("\n", " ").split(" ")
 
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self.put(key, value)
-        return value
+class WordCache:
+    """A bounded memory of what words give: a full young generation becomes the old one, and what is used again comes back."""
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+    def __init__(self, make: Callable[[list[str]], list], most: int):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def __call__(self, words: list[str]) -> list:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, words))
+        if None in found:
+            self.learn({w for w, v in zip(words, found, strict=True) if v is None})
+            known = self.young
+            found = [known[w] if v is None else v for w, v in zip(words, found, strict=True)]
+        return found
+
+    def learn(self, new: set[str]) -> None:
+        rest = []
+        for w in new:
+            if (v := self.old.get(w)) is None:
+                rest.append(w)
+            else:
+                self.young[w] = v
+        self.young.update(zip(rest, self.make(rest), strict=True))
 
 
 class BpeCodec:
@@ -75,8 +83,8 @@ class BpeCodec:
         letters = byte_letters()
         self.first = [self.vocab.get(x) for x in letters]
         self.last = [self.vocab.get(x + self.suffix) for x in letters]
-        self.cache = TwoGenerations(self._word, cached)
-        self.piece_cache = TwoGenerations(self._piece, cached)
+        self.words = WordCache(lambda words: list(map(self._word, words)), cached)
+        self.pieces_seen = WordCache(lambda pieces: list(map(self._piece, pieces)), cached)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a list of symbol ids, by rank, then position; queue entries whose pair has changed are stale and skipped.
@@ -122,13 +130,13 @@ class BpeCodec:
             elif part:
                 part = unicodedata.normalize("NFC", part)
                 part = part.lower() if part.isascii() else "".join(map(str.lower, part))
-                for piece in self.pieces.findall(part):
-                    ids.extend(self.piece_cache[piece])
+                for own in self.pieces_seen(self.pieces.findall(part)):
+                    ids.extend(own)
         return len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
 
     def parts(self, text: str | None) -> list[tuple[int, str, str]]:
         """One entry for each word that has ids."""
-        return [x for x in map(self.cache.__getitem__, CUTS.split(text or "")) if x[0]]
+        return [x for x in self.words(cut(text or "")) if x[0]]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]

@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.bpe import CUTS, TwoGenerations
+from fieldloom.llm.bpe import WordCache, cut
 from fieldloom.llm.shared import shared_dir, text_or_empty
 
 #: A segment is closed when it holds so many ids.
 SEGMENT_IDS = 1 << 17
 BLOCK = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+TOGETHER = 500
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -106,31 +107,34 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache = TwoGenerations(lambda w: self.code([w])[0], cached)
-
-    def code(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        look = self.cache.__getitem__
-        out = []
-        for text in texts:
-            words = CUTS.split(text)
-            new = list({w for w in words if w not in self.cache and w not in self.cache.old})
-            if len(new) > 1:
-                for w, code in zip(new, self.code(new), strict=True):
-                    self.cache.put(w, code)
-            out.append(b"".join(map(look, words)))
+        self.words = WordCache(self.by_library, cached)
+
+    def by_library(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words go to the library together, parted by blanks; an id belongs to the word in which its text begins."""
+        out: list[bytes] = []
+        for k in range(0, len(words), TOGETHER):
+            own = words[k : k + TOGETHER]
+            found = self.library.encode(" ".join(own), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in own)])
+            of = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
+            ends = 4 * np.cumsum(np.bincount(of, minlength=len(own)))
+            raw, at = np.array(found.ids, "<u4").tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[at:end])
+                at = end
         return out
 
+    def __call__(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        return b"".join(self.words(cut(text)))
+
 
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-SEGMENTS = "part int, segment int, doc_ids array<bigint>, counts array<bigint>, payload binary"
+SEGMENTS = "part int, segment int, in_part bigint, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partitions: int | None = None) -> DataFrame:
@@ -145,7 +149,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partition
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number = encoder(tokenizer), None, 0
+        own, part, number, before = encoder(tokenizer), None, 0, 0
         ids: list[int | None] = []
         counts: list[int] = []
         codes: list[bytes] = []
@@ -153,19 +157,19 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partition
 
         def segment() -> pa.RecordBatch:
             payload = pack(np.frombuffer(b"".join(codes), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["part", "segment", "doc_ids", "counts", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["part", "segment", "in_part", "doc_ids", "counts", "payload"])
 
         for batch in batches:
             for p, doc_id, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 part = p.as_py()
-                code = own([text.as_py()])[0] + end
+                code = own(text.as_py()) + end
                 ids.append(doc_id.as_py())
                 counts.append(len(code) // 4)
                 codes.append(code)
                 held += len(code) // 4
                 if held >= SEGMENT_IDS:
                     yield segment()
-                    number, ids, counts, codes, held = number + 1, [], [], [], 0
+                    number, before, ids, counts, codes, held = number + 1, before + held, [], [], [], 0
         if ids:
             yield segment()
 
@@ -176,11 +180,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partition
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The files' segments, with the position of their first id and the number of ids."""
     files = spark.read.schema(SEGMENTS).parquet(path).withColumn("n_ids", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    sizes = files.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
-    before = sizes.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("part_start"))  # one row for each part
-    in_part = Window.partitionBy("part").orderBy("segment")
-    starts = files.select("part", "segment", "n_ids").withColumn("segment_start", F.sum("n_ids").over(in_part) - F.col("n_ids")).drop("n_ids")
-    return files.join(starts.join(before, "part"), ["part", "segment"]).withColumn("first", F.col("part_start") + F.col("segment_start")).drop("part_start", "segment_start")
+    sizes = files.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
+    before = sizes.select("part", (F.sum("_ids").over(Window.orderBy("part")) - F.col("_ids")).alias("_start"))
+    # one row for each part: as many as the writer had partitions, some bytes each
+    return files.join(F.broadcast(before), "part").withColumn("first", F.col("_start") + F.col("in_part")).drop("_start", "in_part")
 
 
 def tokens_at(files: DataFrame, positions: DataFrame) -> DataFrame:
