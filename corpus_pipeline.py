@@ -1,8 +1,54 @@
-"""A corpus pipeline of the numbered operators."""
+"""A corpus pipeline of five operators: quality, repeated lines, near copies, the mix of sources, token ids.
 
-STAGES = []
+Each stage takes all that the one before it kept and returns the columns of documents; the last one returns ids and digests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fieldloom.llm import bpe, lines, mixing, quality, simhash
+from fieldloom.llm.queries import tokenizer_path
+from fieldloom.llm.shared import documents, materialize
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model, _ = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of line runs; those of which nothing is left go."""
+    return lines.dedup(docs)
+
+
+def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources, a row for every copy taken."""
+    return mixing.apply(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every row, and digests of them and of what they decode to."""
+    return bpe.round_trip(docs, tokenizer_path(), ids=True)
+
+
+STAGES = [("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded)]
+
+#: SQL has neither the classifier nor the tokenizer; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    out = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, out, sf_dir)
+        if k < len(STAGES) - 1:
+            out = materialize(out, f"stage-{k}")
+    return out

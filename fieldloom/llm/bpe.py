@@ -11,7 +11,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -121,8 +121,8 @@ class BpeCodec:
         raw = piece.encode("utf-8", "surrogatepass")
         return self.merge([s for s in [*map(self.first.__getitem__, raw[:-1]), self.last[raw[-1]]] if s is not None])
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        """Count, ids and strings of a piece of text without blanks; ids and strings joined by a space."""
+    def _word(self, word: str) -> tuple[int, str, str, bytes]:
+        """Count, ids and strings of a piece of text without blanks, ids and strings joined by a space; and the ids as 32-bit numbers."""
         ids: list[int] = []
         for part in self.cut_special.split(word) if self.cut_special and "<|" in word else [word]:
             if part in self.special:
@@ -132,16 +132,16 @@ class BpeCodec:
                 part = part.lower() if part.isascii() else "".join(map(str.lower, part))
                 for own in self.pieces_seen(self.pieces.findall(part)):
                     ids.extend(own)
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids)), np.array(ids, "<i4").tobytes()
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
+    def parts(self, text: str | None) -> list[tuple[int, str, str, bytes]]:
         """One entry for each word that has ids."""
         return [x for x in self.words(cut(text or "")) if x[0]]
 
-    def encode(self, text: str | None) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join([p[3] for p in self.parts(text)]), "<i4")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary strings of the ids; the tokenizer has no decoder of its own, so they are joined by a space."""
         return " ".join(s for i in ids if (s := self.strings.get(int(i))) is not None)
 
@@ -151,6 +151,11 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "i4"), *arrays]), pa.int32()))
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the ids of every whole text as an array; a column of that name is replaced."""
     kept = docs.drop(ids)
@@ -160,8 +165,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         for batch in batches:
-            lists = [own.encode(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*batch.columns, as_lists([own.encode(t.as_py()) for t in batch.column(at)])], names=[*batch.schema.names, ids])
 
     return kept.mapInArrow(run, schema)
 
@@ -184,18 +188,22 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", text: str = "de
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, number of ids, and digests of the ids and of the text they decode to; the ids themselves stay in the task."""
+def round_trip(docs: DataFrame, tokenizer: str, ids: bool = False) -> DataFrame:
+    """doc_id, number of ids, and digests of the ids and of the text they decode to; with the ids themselves if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
+        sha = lambda parts, k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
         for batch in batches:
-            counts, coded, decoded = [], [], []
+            counts, coded, decoded, arrays = [], [], [], []
             for text in batch.column(1):
                 parts = own.parts(text.as_py())
-                counts.append(sum(p[0] for p in parts))
-                coded.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(counts, "int64")), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS)
+                counts.append(sum([p[0] for p in parts]))
+                coded.append(sha(parts, 1))
+                decoded.append(sha(parts, 2))
+                if ids:
+                    arrays.append(np.frombuffer(b"".join([p[3] for p in parts]), "<i4"))
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": as_lists(arrays)} if ids else {}))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGESTS + ", ids array<int>" * ids)

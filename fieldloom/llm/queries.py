@@ -24,7 +24,7 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of both."""
-    return bpe.digests(documents(spark, sf_dir), tokenizer_path())
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

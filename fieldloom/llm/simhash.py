@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm.components import components
 from fieldloom.llm.shared import materialize
@@ -46,15 +47,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, fp: str = "fp") -> DataFrame:
+    """docs with the fingerprint of every whole text, as a signed long."""
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+            values = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(at)], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*batch.schema.names, fp])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp) of every row."""
+    return with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "text", shingle).select("doc_id", "fp")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -78,3 +85,15 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     fps = materialize(fingerprints(docs, text), "fingerprints")
     return grouped(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id (null, if it is there, counts as smallest here)."""
+    columns = docs.columns
+    inner = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"))
+    inner = with_fingerprints(inner, f"c_{columns.index(text)}")
+    fps = materialize(inner.select("doc_id", "fp"), "fingerprints")
+    first = grouped(fps).groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("_k")).select("_k.doc_id", "_k.fp")
+    kept = inner.join(first, ["doc_id", "fp"])
+    order = Window.partitionBy("doc_id", "fp").orderBy("doc_id")
+    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(columns)])
