@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, lines, mixing, quality, rules, simhash, tokens
+from fieldloom.llm import bpe, lines, mixing, pii, quality, rules, simhash, tokens
 from fieldloom.llm.shared import documents
 
 
@@ -32,6 +32,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to earlier copies of its line runs."""
     return lines.digests(documents(spark, sf_dir))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op6_line_dedup": op6_line_dedup,
     "op7_weighted_mix": op7_weighted_mix,
     "op9_quality_rules": op9_quality_rules,
