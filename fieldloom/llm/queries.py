@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, lines, mixing, pii, quality, rules, simhash, tokens
+from fieldloom.llm import bpe, embed, lines, mixing, pii, quality, rules, simhash, tokens
 from fieldloom.llm.shared import documents
 
 
@@ -37,6 +37,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_embedding_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to earlier copies of its line runs."""
     return lines.digests(documents(spark, sf_dir))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
+    "op5_embedding_index": op5_embedding_index,
     "op6_line_dedup": op6_line_dedup,
     "op7_weighted_mix": op7_weighted_mix,
     "op9_quality_rules": op9_quality_rules,
