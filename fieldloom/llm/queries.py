@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, embed, lines, mixing, pii, quality, rules, simhash, tokens
+from fieldloom.llm import bpe, embed, lines, mixing, pii, quality, rules, simhash, suffix, tokens
 from fieldloom.llm.shared import documents
 
 
@@ -52,6 +52,11 @@ def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.per_document(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to repeated strings of 200 bytes."""
+    return suffix.digests(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_index": op5_embedding_index,
     "op6_line_dedup": op6_line_dedup,
     "op7_weighted_mix": op7_weighted_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_qda": op10_quality_qda,
 }
