@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, embed, lines, mixing, pii, quality, rules, simhash, suffix, tokens
 from fieldloom.llm.shared import documents
@@ -59,7 +60,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return rules.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return rules.judge(documents(spark, sf_dir).select("doc_id", "text")).withColumn("failed", F.array_join("failed", ","))
 
 
 def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +82,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_qda": op10_quality_qda,
 }
-ORACLES: dict[str, str] = {}
+
+
+def rules_sql() -> str:
+    """op9 in DuckDB's SQL, from the same table of thresholds."""
+
+    def names(table: tuple) -> str:
+        fails = lambda r: " OR ".join([f"{r.measure} < {r.least}"] * (r.least is not None) + [f"{r.measure} > {r.most}"] * (r.most is not None))
+        return ", ".join(f"CASE WHEN {fails(r)} THEN '{r.name}' END" for r in table)
+
+    word, stop = r"[^\x20\x09-\x0D]", ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS g FROM d WHERE len(w) > 2),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, least(3, i - lag(i, 1, i - 3) OVER (PARTITION BY doc_id ORDER BY i)) AS n FROM again) GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words, CAST(len(l) AS BIGINT) AS n_lines FROM d LEFT JOIN rep USING (doc_id)),
+r AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0.0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_ratio, coalesce(n_stop_words / nullif(n_words, 0), 0.0) AS stop_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_line_ratio, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeat_ratio FROM m),
+f AS (SELECT *, concat_ws(',', {names(rules.BASE)}) AS b, concat_ws(',', {names(rules.BASE + rules.RULES)}) AS failed FROM r)
+SELECT * EXCLUDE (b), b <> '' AS base_failed, failed = '' AS kept FROM f"""
+
+
+#: The other operators rest on a tokenizer, XXH64, trees or iteration, which this SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op9_quality_rules": rules_sql()}

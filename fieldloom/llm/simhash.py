@@ -73,12 +73,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def grouped(fps: DataFrame) -> DataFrame:
-    """fps (doc_id, fp, ...) with component_id, the smallest doc_id reachable."""
+    """fps (doc_id, fp, ...) with root, a fingerprint that names the component, and component_id, the smallest doc_id reachable."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     roots = components(links(fps)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return fps.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,7 +93,7 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     inner = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"))
     inner = with_fingerprints(inner, f"c_{columns.index(text)}")
     fps = materialize(inner.select("doc_id", "fp"), "fingerprints")
-    first = grouped(fps).groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("_k")).select("_k.doc_id", "_k.fp")
+    first = grouped(fps).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_k")).select("_k.doc_id", "_k.fp")
     kept = inner.join(first, ["doc_id", "fp"])
     order = Window.partitionBy("doc_id", "fp").orderBy("doc_id")
     return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(columns)])
