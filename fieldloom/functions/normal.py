@@ -6,12 +6,13 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: |z| at which a two-sided p is 0.05.
 Z_05 = 1.959963984540054
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|); null for null."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")

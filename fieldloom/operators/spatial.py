@@ -52,10 +52,10 @@ def morans_i(cells: DataFrame, value: str = "filled") -> DataFrame:
     has = (F.col("n_neighbours") > 0).cast("double")
     # sum over neighbours j of (w_ij + w_ji)^2 = 1/n_i + 2/n_i * sum_j 1/n_j + sum_j 1/n_j^2; halved by symmetry it is sum of 1/n_i + sum_i inv_i * colsum_i
     sums = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("z") * F.col("lag")).alias("zl"), F.sum(has).alias("s0"), F.sum("inv").alias("si"), F.sum(F.col("inv") * F.col("_col")).alias("sc"), F.sum((has + F.col("_col")) * (has + F.col("_col"))).alias("s2"))
-    n, s0, s1, s2 = F.col("n").cast("double"), F.col("s0"), F.col("si") + F.col("sc"), F.col("s2")
-    out = sums.withColumn("i", n / s0 * F.col("zl") / F.nullif(F.col("zz"), F.lit(0.0))).withColumn("expected", -1 / (n - 1))
-    out = out.withColumn("variance", (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n - 1) * (n + 1) * s0 * s0) - F.col("expected") * F.col("expected"))
-    out = out.withColumn("z", (F.col("i") - F.col("expected")) / F.sqrt("variance"))
+    n, s0, s1, s2 = F.col("n").cast("double"), F.nullif("s0", F.lit(0.0)), F.col("si") + F.col("sc"), F.col("s2")
+    out = sums.withColumn("i", n / s0 * F.col("zl") / F.nullif(F.col("zz"), F.lit(0.0))).withColumn("expected", -1 / F.nullif(n - 1, F.lit(0.0)))
+    out = out.withColumn("variance", (n * n * s1 - n * s2 + 3 * s0 * s0) / F.nullif((n - 1) * (n + 1) * s0 * s0, F.lit(0.0)) - F.col("expected") * F.col("expected"))
+    out = out.withColumn("z", (F.col("i") - F.col("expected")) / F.sqrt(F.when(F.col("variance") > 0, F.col("variance"))))
     return out.select("n", "i", "expected", "variance", "z", two_sided_p(F.col("z")).alias("p"))
 
 
@@ -66,9 +66,10 @@ def local_moran(cells: DataFrame, value: str = "filled") -> DataFrame:
     out = lagged.crossJoin(F.broadcast(lagged.agg(F.count(F.lit(1)).alias("_n"))))  # one row
     high, near = F.col("z") > 0, F.col("lag") > 0
     quadrant = F.when(high & near, 1).when(~high & near, 2).when(~high & ~near, 3).when(high & ~near, 4)
-    others_mean = -F.col("z") / (n - 1)
-    others_var = (n - F.col("z") * F.col("z")) / (n - 1) - others_mean * others_mean
-    spread = others_var / F.col("n_neighbours") * (n - 1 - F.col("n_neighbours")) / (n - 2)
+    rest, few = F.nullif(n - 1, F.lit(0.0)), F.nullif(F.col("n_neighbours") * (n - 2), F.lit(0.0))
+    others_mean = -F.col("z") / rest
+    others_var = (n - F.col("z") * F.col("z")) / rest - others_mean * others_mean
+    spread = others_var * (n - 1 - F.col("n_neighbours")) / few
     z_i = F.when((F.col("n_neighbours") > 0) & (spread > 0), (F.col("lag") - others_mean) / F.sqrt(spread))
     return out.withColumns({"local_i": F.col("z") * F.col("lag"), "quadrant": quadrant, "z_i": z_i}).drop("_n")
 

@@ -77,12 +77,12 @@ def r(*names: str) -> str:
 # sources
 
 
-@query("""SELECT DISTINCT concat('/data/MOD13A3.061__1_km_monthly_', b.name, '_doy', y, lpad(CAST(d AS VARCHAR), 3, '0'), '000000_aid0001.tif') AS path, b.layer AS layer, CAST(y AS INTEGER) AS year, CAST(month(make_date(y, 1, 1) + CAST(d - 1 AS INTEGER)) AS INTEGER) AS month
+@query("""SELECT DISTINCT concat('/data/PRODUCT.061__1_km_monthly_', b.name, '_doy', y, lpad(CAST(d AS VARCHAR), 3, '0'), '000000_aid0001.tif') AS path, b.layer AS layer, CAST(y AS INTEGER) AS year, CAST(month(make_date(y, 1, 1) + CAST(d - 1 AS INTEGER)) AS INTEGER) AS month
 FROM (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS y, CAST(dayofyear(l_shipdate) AS INTEGER) AS d FROM lineitem) g, (VALUES ('NDVI', 'value'), ('pixel_reliability', 'quality'), ('VI_Quality', NULL)) b(name, layer)""")
 def granule_names(spark, d):
     line = spark.read.parquet(f"{d}/lineitem.parquet").select(F.year("l_shipdate").alias("y"), F.dayofyear("l_shipdate").alias("d")).distinct()
     names = line.withColumn("b", F.explode(F.array(*map(F.lit, ("NDVI", "pixel_reliability", "VI_Quality")))))
-    path = F.concat(F.lit("/data/MOD13A3.061__1_km_monthly_"), "b", F.lit("_doy"), "y", F.lpad(F.col("d").cast("string"), 3, "0"), F.lit("000000_aid0001.tif"))
+    path = F.concat(F.lit("/data/PRODUCT.061__1_km_monthly_"), "b", F.lit("_doy"), "y", F.lpad(F.col("d").cast("string"), 3, "0"), F.lit("000000_aid0001.tif"))
     return granules.parse_granule_name(granules.classify_layers(names.select(path.alias("path")), value_mark="_NDVI_")).select("path", "layer", "year", "month")
 
 
