@@ -13,7 +13,6 @@ import xxhash
 from tokenizers import Tokenizer
 
 from fieldloom.llm import bpe, lines, pii, rules, simhash, suffix, tokens
-from pyspark.sql import functions as F
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
