@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words kept in a worker's memory. Beyond it the older half goes; results don't depend on it.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
+#: Rows that are encoded before they are handed on; their ids are in memory together.
+AT_ONCE = 500
 
 
 def byte_letters() -> list[str]:
@@ -164,7 +166,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             yield pa.RecordBatch.from_arrays([*batch.columns, as_lists([own.encode(t.as_py()) for t in batch.column(at)])], names=[*batch.schema.names, ids])
 
     return kept.mapInArrow(run, schema)
@@ -194,7 +196,7 @@ def round_trip(docs: DataFrame, tokenizer: str, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
         sha = lambda parts, k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             counts, coded, decoded, arrays = [], [], [], []
             for text in batch.column(1):
                 parts = own.parts(text.as_py())
