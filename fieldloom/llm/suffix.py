@@ -15,7 +15,7 @@ text through shuffles. Strings of LENGTH bytes are all that counts, so suffixes
 
 Texts are compressed while they move. The groups of one sig are counted by a window that spills to disk; no group is collected.
 
-The corpus is in order of doc_id (null first), checksum of the text, then place. Edge cases: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows are copies
+The corpus is in order of doc_id (null first), a 64-bit hash of the text, then place. Edge cases: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows are copies
 of one another (keep_first keeps both, as they have one place); matches never cross documents; texts of any length are treated whole, long ones in overlapping pieces; an empty table gives an empty table.
 """
 
@@ -94,9 +94,9 @@ KEY = ["d", "t"]
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, d, t, raw): d and t are a document's place in the corpus, raw its bytes."""
+    """(doc_id, d, t, raw): d and t are a document's place in the corpus, raw its bytes. Rows without doc_id are told apart by t alone, so it has 64 bits."""
     raw = text_or_empty(text).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.crc32(raw).alias("t"), raw.alias("raw"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(raw).alias("t"), raw.alias("raw"))
 
 
 def group_table(texts: DataFrame) -> DataFrame:

@@ -237,6 +237,18 @@ def test_strings_keep_first_and_empty(spark, no_docs):
     assert suffix.spans(df).count() > 0
 
 
+def test_texts_of_one_checksum_stay_apart(spark):
+    """Rows without doc_id whose texts share CRC-32: a long text with a repeat and a short one that has none."""
+    passage = " ".join(f"q{k}" for k in range(120))
+    named = lambda salt: {zlib.crc32(t.encode()): t for t in (salt + sha(salt[:9] + str(k)) for k in range(300_000))}
+    longs, shorts = named(passage), named("short ")
+    both = min(longs.keys() & shorts.keys())
+    long, short = longs[both], shorts[both]
+    rows = [(None, short), (None, long), (1, "before " + passage)]
+    assert short != long and zlib.crc32(short.encode()) == zlib.crc32(long.encode())
+    assert bag(suffix.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == cut_bytes(rows)
+
+
 def test_pieces_change_nothing(monkeypatch):
     raw = (" ".join(f"w{k % 50}" for k in range(900))).encode()
     whole = suffix.groups(raw)
