@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, lines, mixing, quality, simhash
+from fieldloom.llm import bpe, lines, mixing, near, quality
 from fieldloom.llm.queries import tokenizer_path
 from fieldloom.llm.shared import documents, materialize
 
@@ -24,8 +24,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: five-word shingles at similarity 0.8 or more."""
+    return near.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path(), ids=True)
 
 
-STAGES = [("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded)]
+STAGES = [("quality classifier", good), ("line dedup", new_lines), ("near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded)]
 
 #: SQL has neither the classifier nor the tokenizer; tests hold the pipeline against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import bpe, components, embed, mixing, quality, simhash
+from fieldloom.llm import bpe, components, embed, mixing, near, quality, simhash
 from fieldloom.llm.queries import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -164,3 +164,55 @@ def test_pipeline(spark):
     want = Counter(map(tuple, bpe.round_trip(texts, tokenizer_path()).collect()))
     got = corpus_pipeline.run(spark, SMALL)
     assert Counter(tuple(r[:4]) for r in got.collect()) == want and "ids" in got.columns
+
+
+def word_sets(text):
+    w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def firsts_of_groups(rows):
+    """Smallest doc_id of every group of near copies, by comparing all pairs."""
+    sets, label, linked = [word_sets(t) for _, t in rows], list(range(len(rows))), []
+    for j in range(len(rows)):
+        for k in range(j):
+            both = len(sets[j] & sets[k])
+            if sets[j] == sets[k] or both >= 0.8 * len(sets[j] | sets[k]):
+                linked.append((j, k))
+                old, new = label[j], label[k]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        least[x] = min(i, least.get(x, i))
+    return sorted(least.values()), linked
+
+
+def test_near_copies_by_words(spark, odd_docs, no_docs):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):  # from exact copies to similarity about 0.6
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        for copy in range(4):
+            own = list(words)
+            for at in rng.choice(len(own), len(own) * (copy * (k % 4)) // 120, replace=False):
+                own[at] = f"new{copy}x{at}"
+            rows.append((10 * k + copy, " ".join(own)))
+    rows += [(1000, ""), (1001, " "), (1002, "few words"), (1003, "Few  WORDS"), (1004, "few words more")]
+    want, linked = firsts_of_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(linked) > 100 and sorted(r["doc_id"] for r in near.one_of_each(df).collect()) == want
+    assert len(want) < simhash.one_of_each(df).count()
+    kept = near.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.where("doc_id IS NULL").count() == 2 and near.one_of_each(no_docs).count() == 0
+
+
+def test_many_near_copies_are_one(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*words[: k % 290], f"own{k}", *words[k % 290 + 1 :]])) for k in range(600)]
+    assert [r["doc_id"] for r in near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_pipeline_leaves_no_near_copies(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_copy(spark, docs, SMALL).collect()]
+    assert sorted(i for i, _ in kept) == firsts_of_groups([(r["doc_id"], r["text"]) for r in docs.collect()])[0]
