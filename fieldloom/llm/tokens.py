@@ -9,7 +9,7 @@ Files are Parquet tables written and read by Spark: one row per segment, with th
 doc_ids and their counts, and the payload. Position 0 is the first id of the smallest doc_id.
 
 Edge cases: a null text is empty and has the end id alone; a null doc_id sorts first; rows with one doc_id follow one
-another, by text; a document longer than a segment has one of its own; an empty table gives empty files.
+another, by a hash of their text; a document longer than a segment has one of its own; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -25,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.bpe import WordCache, cut
+from fieldloom.llm.bpe import CACHE_BYTES, WordCache, cut
 from fieldloom.llm.shared import shared_dir, text_or_empty
 
 #: A segment is closed when it holds so many ids.
 SEGMENT_IDS = 1 << 17
 BLOCK = 512
-CACHED_WORDS = 600_000
 TOGETHER = 500
 
 
@@ -100,14 +99,14 @@ class Codes:
 class Encoder:
     """The tokenizers library with a bounded memory of words. Only for tokenizers that drop white space and let no rule reach across it."""
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = WordCache(self.by_library, cached)
+        self.words = WordCache(self.by_library, cache_bytes)
 
     def by_library(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words go to the library together, parted by blanks; an id belongs to the word in which its text begins."""
@@ -126,7 +125,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        return b"".join(self.words(cut(text)))
+        return b"".join([b"".join(self.words(w)) for w in cut(text)])
 
 
 @lru_cache(2)
@@ -145,7 +144,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partition
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    # a range of one doc_id (or of nulls) is split by a hash of the text, so that no id has to fit into one part
+    rows = rows.withColumn("_t", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_t").sortWithinPartitions("doc_id", "_t", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

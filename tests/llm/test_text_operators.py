@@ -77,7 +77,7 @@ def test_bpe(odd_docs, no_docs, library):
 
 
 def test_small_caches_change_nothing(library):
-    small = bpe.BpeCodec(PATH, cached=3)
+    small = bpe.BpeCodec(PATH, cache_bytes=3)
     text = "The quick brown fox, the quick brown dog: isn't it? " * 5
     assert small.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
