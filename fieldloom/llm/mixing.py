@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents of a source queue up in a shuffled order (a seeded hash of the doc_id). A document's virtual finish time is the
+Documents of a source queue up in a shuffled order (a seeded hash of doc_id and text). A document's virtual finish time is the
 number of words of its source up to its end, over the source's target. All sources' documents are then
 sorted by that time, and the mix ends where the running total of words would exceed the budget. A source may be passed through `repeat` times;
 each pass follows the one before.
@@ -31,7 +31,8 @@ BROADCAST_SOURCES = 20_000
 def sized(docs: DataFrame, seed: int = SEED, text: str = "text") -> DataFrame:
     """(doc_id, source, size, at, tie): the words of a document and its place in the shuffled order."""
     whole = text_or_empty(text)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("at"), F.xxhash64(whole, F.col("source").cast("string")).alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(whole, F.col("source").cast("string")).alias("tie"))
+    return rows.withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "tie"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -117,9 +118,16 @@ def per_document(docs: DataFrame, **how) -> DataFrame:
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, all their columns, a row for every copy taken."""
+    """The documents of the mix, all their columns, a row for every copy taken, range-sorted by virtual finish time."""
+    key = lambda df, doc_id="doc_id": df.withColumn("_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))))
     _, copies = mix(docs, **how)
-    rows = docs.withColumnsRenamed({c: f"c_{i}" for i, c in enumerate(docs.columns)}).withColumn("doc_id", F.col(f"c_{docs.columns.index('doc_id')}"))
-    tie = F.xxhash64(text_or_empty(f"c_{docs.columns.index('text')}"), F.col(f"c_{docs.columns.index('source')}").cast("string"))
-    got = shared_out(rows.withColumn("tie", tie), copies).where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own"))))
-    return got.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
+    same = Window.partitionBy("_d", "tie")
+    rows = key(docs.withColumnsRenamed(names), names["doc_id"]).withColumn("tie", F.xxhash64(text_or_empty(names["text"]), F.col(names["source"]).cast("string")))
+    rows = rows.withColumn("_k", F.row_number().over(same.orderBy(F.xxhash64(*names.values()))) - 1)
+    # copies of equal rows go round among them, in order of time
+    place = ["finish", "rank", "pass", "at"]
+    numbered = key(copies).withColumn("_of", F.count(F.when(F.col("pass") == 0, 1)).over(same)).withColumn("_k", (F.row_number().over(same.orderBy(*place)) - 1) % F.greatest("_of", F.lit(1)))
+    got = rows.join(numbered.select("_d", "tie", "_k", *place), ["_d", "tie", "_k"])
+    order = [*place, "_d", "tie", "_k"]
+    return got.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(v).alias(c) for c, v in names.items()])

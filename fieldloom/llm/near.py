@@ -1,15 +1,18 @@
-"""One document of each group of near copies: five-word shingles at Jaccard similarity 0.8 or more.
+"""SimHash near copies at a word similarity: five-word shingles at Jaccard 0.8 or more, found by balls of short fingerprints.
 
-Texts with equal sets of shingles are one node. Each node has BANDS keys, every one of the minima of ROWS hash orders over its shingles: two sets at
-similarity J share a key with probability 1 - (1 - J^ROWS)^BANDS, 0.9996 at 0.8. Nodes of one key are put in order and each is
-paired with the WIDTH before it, so candidates stay in proportion to the documents; keys of up to WIDTH + 1 nodes have all their pairs. Every
-candidate is verified by the exact similarity of both sets. Direct neighbours come first; of the others only those still apart are compared.
+Sets at Jaccard 0.8 differ in about 15 % of SimHash bits: ten of 64, and balls of half that radius are far too large. So the fingerprint is
+searched in pieces: each of TABLES bytes of it emits itself and its eight one-bit variants, which finds all bytes within two bits of each
+other (chance 0.89 at 0.8). A byte alone is shared by far too many documents, so a variant counts together with its anchor, the smallest
+of the table's hashes over the shingles, which sets share with a chance that is their similarity. With six tables a pair at 0.8 meets with chance 0.9994
+by formula. Who meets is deduplicated, compared by long fingerprints (PARTS of 64 bits, at most FAR bits apart: over four deviations at 0.8),
+and verified by the exact similarity of both sets.
 
-Groups are components of verified pairs. In a group of very many near copies not all pairs are compared: a member whose verified partners
-never stand near it for any key would stay apart.
+Groups are components of verified pairs. Texts with equal sets are one node. Nodes of one variant are put in order and paired with the WIDTH before
+them; variants of more nodes whose members are then still in several components have all remaining pairs between components compared, in
+blocks dealt to many tasks, which give the pairs that join components, never all. So no pair that meets is left out, while a large group of copies in one component costs a few comparisons a member.
 
 Edge cases: as in simhash: a null text is empty; a text shorter than a shingle has one shingle of all its words, one without words has none
-and is equal to others without; a null doc_id counts as smallest; one row stays of repeated rows; an empty table gives an empty table.
+and is equal to others without; a null doc_id counts as smallest; one row stays of repeated rows, the first by a hash of all its columns; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,94 +20,188 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.llm.shared import materialize, text_or_empty
+from fieldloom.llm.shared import materialize, release, text_or_empty
+from fieldloom.llm.simhash import majority
 
 SHINGLE, JACCARD, SEED = 5, 0.8, 42
-BANDS, ROWS, WIDTH = 20, 5, 8
-#: Rows of an Arrow batch out, and shingles hashed at once.
-SLICE, CHUNK = 500, 4096
+TABLES, PARTS, FAR = 6, 4, 72
+WIDTH, BLOCK = 4, 512
+#: Rows of an Arrow batch out, and shingles worked on at once.
+SLICE, CHUNK = 500, 1 << 16
 LEAST = -(2**63)
+ODD = np.random.default_rng(SEED).integers(0, 2**63, SHINGLE + PARTS + TABLES, dtype="u8") * np.uint64(2) + np.uint64(1)
+SKETCH = [f"a{k}" for k in range(TABLES)] + [f"f{k}" for k in range(PARTS)]
+
+
+def spread_bits(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the runs of SHINGLE words (A-Z lower-cased)."""
+    """Sorted distinct 64-bit ids of the runs of SHINGLE words (A-Z lower-cased)."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: ASCII only
     if not words:
         return np.zeros(0, "u8")
-    runs = [words] if len(words) < SHINGLE else zip(*(words[k:] for k in range(SHINGLE)), strict=False)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(r), SEED) for r in runs], "u8"))
-
-
-def orders() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**63, BANDS * ROWS, dtype="u8"), rng.integers(0, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
+    if len(words) < SHINGLE:
+        return np.array([digest(b" ".join(words), SEED)], "u8")
+    h, n = np.array([digest(w, SEED) for w in words], "u8"), len(words) - SHINGLE + 1
+    runs = np.zeros(n, "u8")
+    for k in range(SHINGLE):
+        runs += spread_bits(h[k : k + n] * ODD[k])
+    return np.unique(spread_bits(runs))
 
 
-def keys(own: np.ndarray, marks: np.ndarray, factors: np.ndarray) -> list[int]:
-    """The key of each band."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, "u8")
-    for at in range(0, len(own), CHUNK):
-        x = (own[at : at + CHUNK, None] ^ marks) * factors
-        x ^= x >> np.uint64(32)
-        least = np.minimum(least, (x * factors).min(0))
-    return [xxhash.xxh3_64_intdigest(band.tobytes()) - 2**63 for band in least.reshape(BANDS, ROWS)]
+def sketch(own: np.ndarray) -> list[int]:
+    """The anchors of all tables, then the parts of the fingerprint, as signed numbers."""
+    least = np.full(TABLES, 2**64 - 1, "u8")
+    for k in range(TABLES):
+        for at in range(0, len(own), CHUNK):
+            least[k] = min(least[k], spread_bits(own[at : at + CHUNK] * ODD[SHINGLE + k]).min())
+    parts = [majority(spread_bits(own * f)) for f in ODD[SHINGLE + TABLES :]]
+    return [*least.view("i8").tolist(), *np.array(parts, "u8").view("i8").tolist()]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(d, t, node, own, keys) of every row of docs (d, t, text): node names the set of shingles own."""
+    """(d, t, node, own, anchors, fingerprint) of every row of docs (d, t, text): node names the set of shingles own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, factors = orders()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 sets = [shingles(x.as_py()) for x in batch.column(2)]
                 nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([keys(s, marks, factors) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["d", "t", "node", "own", "keys"])
+                numbers = np.array([sketch(s) for s in sets], "i8").reshape(-1, len(SKETCH))
+                columns = [batch.column(0), batch.column(1), nodes, pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(numbers[:, k].copy()) for k in range(len(SKETCH)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "node", "own", *SKETCH])
+
+    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, node long, own binary, " + ", ".join(f"{c} long" for c in SKETCH))
+
+
+def variants(nodes: DataFrame) -> DataFrame:
+    """(key, node): the byte of each table and its eight neighbours, each with the table's anchor."""
+    shift = lambda what, x, n: F.call_function(what, x, n)
+    tables = nodes.select("node", "f0", F.posexplode(F.array(*SKETCH[:TABLES])).alias("_t", "_a"))
+    byte = shift("shiftrightunsigned", F.col("f0"), (F.col("_t") * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))
+    balls = tables.select("node", "_t", "_a", byte.alias("_f"), F.explode(F.sequence(F.lit(-1), F.lit(7))).alias("_i"))
+    bit = F.when(F.col("_i") < 0, F.lit(0).cast("long")).otherwise(shift("shiftleft", F.lit(1).cast("long"), F.greatest("_i", F.lit(0))))
+    return balls.select(F.xxhash64("_t", "_a", F.col("_f").bitwiseXOR(bit)).alias("key"), "node")
 
-    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, node long, own binary, keys array<bigint>")
 
+def apart(a: str, b: str) -> Column:
+    """Bits that differ between the fingerprints of two sides."""
+    return sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(1, PARTS)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of nodes (node, keys) that stand at n places or WIDTH at most from one another for some key, in an order that is the same for all keys."""
-    spread = nodes.select("node", F.get("keys", F.lit(0)).alias("_o"), F.posexplode("keys").alias("band", "key"))
-    ring = Window.partitionBy("band", "key").orderBy("_o", "node")
-    before = F.array(*[F.struct(F.lag("node", n).over(ring).alias("other"), F.lit(n).alias("n")) for n in range(1, WIDTH + 1)])
-    pairs = spread.withColumn("_b", before).where("_b[0].other IS NOT NULL").select("node", F.explode("_b").alias("_b")).where("_b.other IS NOT NULL")
-    return pairs.groupBy(F.least("node", "_b.other").alias("a"), F.greatest("node", "_b.other").alias("b")).agg(F.min("_b.n").alias("n"))
 
+def prints(nodes: DataFrame, node: str, prefix: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(node), *[F.col(f"f{k}").alias(f"{prefix}{k}") for k in range(PARTS)])
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes (node, own) at JACCARD or more."""
+
+def neighbours(balls: DataFrame) -> DataFrame:
+    """(a, b): distinct pairs of nodes that stand at WIDTH places or fewer from one another for some key, in order of node."""
+    ring = Window.partitionBy("key").orderBy("node")
+    before = F.array(*[F.lag("node", n).over(ring) for n in range(1, WIDTH + 1)])
+    pairs = balls.withColumn("_b", before).where("_b[0] IS NOT NULL").select(F.explode("_b").alias("a"), F.col("node").alias("b"))
+    return pairs.where("a IS NOT NULL").distinct()
+
+
+def briefs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, brief): fingerprint and shingles of 32 bits each, sorted; enough to rule out nearly all pairs below JACCARD and none above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = np.stack([batch.column(2 + k).to_numpy() for k in range(PARTS)], 1)
+            short = [np.sort((np.frombuffer(x.as_py(), "u8") >> np.uint64(32)).astype("u4")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tobytes() + x.tobytes() for f, x in zip(parts, short, strict=True)], pa.binary())], names=["node", "brief"])
+
+    return sets.join(nodes.select("node", *SKETCH[TABLES:]), "node").select("node", "own", *SKETCH[TABLES:]).mapInArrow(run, "node long, brief binary")
+
+
+def joined(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a block that join components (roots): rows of side 0 against rows of side 1, only as many as the components need."""
+    own, others = (group[group["side"] == k] for k in (0, 1))
+    root: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    prints_ = [np.array([np.frombuffer(x, "u8", PARTS) for x in side["brief"]], "u8").reshape(-1, PARTS) for side in (own, others)]
+    sets = [np.frombuffer(x, "u4", -1, 8 * PARTS) for x in others["brief"]]
+    sizes, nodes, roots = np.array([len(x) for x in sets]), others["node"].to_numpy(), others["root"].to_numpy()
+    for node, r, f, brief in zip(own["node"], own["root"], prints_[0], own["brief"], strict=True):
+        mine = np.frombuffer(brief, "u4", -1, 8 * PARTS)
+        close = np.bitwise_count(prints_[1] ^ f).sum(1) <= FAR
+        close &= (nodes != node) & (sizes >= JACCARD * len(mine)) & (len(mine) >= JACCARD * sizes)
+        at = [k for k in np.flatnonzero(close).tolist() if find(int(roots[k])) != find(int(r))]
+        if not at:
+            continue
+        flat = np.concatenate([sets[k] for k in at])
+        both = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat, np.cumsum([0, *sizes[at][:-1]]), dtype="i8")
+        for k in np.array(at)[both >= JACCARD * (len(mine) + sizes[at] - both)].tolist():
+            x, y = find(int(r)), find(int(roots[k]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(node), int(nodes[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def remaining(balls: DataFrame, roots: DataFrame, short: DataFrame) -> DataFrame:
+    """(a, b): pairs that join components of those who meet at a key of more than WIDTH + 1 nodes, by comparing all that are in several components.
+
+    At each key the nodes outside of its largest component are compared with all. Both sides are dealt to blocks of BLOCK nodes.
+    """
+    large = materialize(balls.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1), "large")
+    members = balls.join(large.select("key"), "key").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    members = materialize(members, "members")
+    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("_main"), F.sum("c").alias("_n"), (F.sum("c") - F.max("c")).alias("_o")).where("_o > 0")
+    several = materialize(several.select("key", "_main", F.ceil(F.col("_o") / BLOCK).alias("_i"), F.ceil(F.col("_n") / BLOCK).alias("_j")), "several")
+    met = members.join(several, "key")
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = met.where("root <> _main").select("key", deal(1, "_i").alias("i"), each("_j").alias("j"), "node", "root", F.lit(0).alias("side"))
+    columns = met.select("key", each("_i").alias("i"), deal(2, "_j").alias("j"), "node", "root", F.lit(1).alias("side"))
+    return rows.unionByName(columns).join(short, "node").groupBy("key", "i", "j").applyInPandas(joined, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, own) are at JACCARD or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(s.as_py(), "u8") for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= JACCARD * max(len(x), len(y)) else 0
                 near.append(both >= JACCARD * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    a, b = (nodes.select(F.col("node").alias(k), F.col("own").alias(f"_{k}")) for k in ("a", "b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    a, b = (sets.select(F.col("node").alias(k), F.col("own").alias(f"_{k}")) for k in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): verified pairs of nodes (node, own, keys), enough of them for the components."""
-    found = materialize(candidates(nodes), "candidates")
-    close = materialize(verified(found.where("n = 1"), nodes), "near")
-    roots = materialize(components(close), "roots")
-    side = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"_{k}"))
-    apart = found.where("n > 1").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    return close.unionByName(verified(apart, nodes))
+def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): verified pairs of nodes, enough of them for the components of all that meet."""
+    balls = variants(nodes.where(F.col("_some")))
+    found = materialize(neighbours(balls), "met")
+    wanted = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "_k.d", "_k.t"), "node")
+    # the sets of nodes that meet any other; equal rows have equal sets
+    sets = materialize(rows.select("node", "d", "t", "own").join(materialize(wanted, "wanted"), ["node", "d", "t"]).select("node", "own").dropDuplicates(["node"]), "sets")
+    close = found.join(prints(nodes, "a", "x"), "a").join(prints(nodes, "b", "y"), "b").where(apart("x", "y") <= FAR).select("a", "b")
+    close = materialize(verified(close, sets), "near")
+    rest = materialize(remaining(balls, materialize(components(close), "roots"), materialize(briefs(sets, nodes), "briefs")), "rest")
+    return close.unionByName(verified(rest, sets))
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -112,12 +209,11 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     columns = docs.columns
     inner = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(text_or_empty(text)).alias("t"))
     rows = materialize(sketches(inner.select("d", "t", F.col(f"c_{columns.index(text)}").alias("text"))), "sketches")
-    least = rows.groupBy("node").agg(F.min(F.struct("d", "t")).alias("_k"))
-    # one row for each node: its sets are all the same
-    nodes = rows.join(least.select("_k.d", "_k.t"), ["d", "t"]).dropDuplicates(["d", "t"]).select("node", "own", "keys")
-    nodes = materialize(nodes, "nodes")
-    roots = components(links(nodes))
-    first = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k")).select("_k.d", "_k.t")
-    kept = inner.join(first, ["d", "t"])
-    order = Window.partitionBy("d", "t").orderBy("d")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(columns)])
+    firsts = [F.first(c).alias(c) for c in SKETCH]  # rows of a node agree in them
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("d", "t")).alias("_k"), F.max(F.octet_length("own") > 0).alias("_some"), *firsts), "nodes")
+    roots = components(links(rows, nodes))
+    first = nodes.select("node", "_k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k")).select("_k.d", "_k.t")
+    first = materialize(first, "kept")
+    release(rows)
+    order = Window.partitionBy("d", "t").orderBy(F.xxhash64(*[f"c_{k}" for k in range(len(columns))]), *[F.col(f"c_{k}").cast("string") for k in range(len(columns))])
+    return inner.join(first, ["d", "t"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(columns)])

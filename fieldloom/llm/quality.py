@@ -80,7 +80,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass(frozen=True)
 class Qda:
-    """Means and Cholesky factors by class; const: half log-determinants and log-priors. only: the score if a class is missing."""
+    """Means and inverse Cholesky factors by class, made once; const: half log-determinants and log-priors. only: the score if a class is missing."""
 
     means: np.ndarray | None = None
     factors: np.ndarray | None = None
@@ -92,7 +92,7 @@ class Qda:
             return np.full(len(x), self.only)
         dens = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)  # of a triangle
+            z = self.factors[k] @ (x - self.means[k]).T
             dens.append(self.const[k] - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(-np.clip(dens[1] - dens[0], -500, 500)))
 
@@ -127,7 +127,7 @@ def fit(feats: DataFrame, labels: DataFrame, shrink: float = 0.1, ridge: float =
         cov = (1 - shrink) * scatter[k] / n[k] + shrink * pooled
         cov = (1 - ridge) * cov + ridge * (np.trace(cov) / d + 1e-9) * np.eye(d)
         low = np.linalg.cholesky(cov)
-        factors.append(low)
+        factors.append(np.linalg.inv(low))
         const.append(float(np.log(n[k] / n.sum()) - np.log(np.diag(low)).sum()))
     return Qda(means, np.array(factors), tuple(const))
 
@@ -159,3 +159,26 @@ def keep(docs: DataFrame, model: Qda, least: float = 0.5, text: str = "text") ->
             yield batch.filter(pa.array(model.score(table(batch.column(at).to_pylist())) >= least))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
+    """Learn from labels and keep the rows of docs whose score is least or more. Texts are measured once: rows are written with their statistics."""
+    columns, at = docs.columns, docs.columns.index(text)
+    own = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)])
+    x = T.StructField("x", T.ArrayType(T.DoubleType()))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = table(batch.column(at).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "x"])
+
+    rows = materialize(own.mapInArrow(measure, T.StructType([*own.schema.fields, x])), "measured")
+    model = fit(rows.select(F.col(f"c_{columns.index('doc_id')}").cast("long").alias("doc_id"), "x"), labels)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(len(columns)).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], names=columns).filter(pa.array(model.score(values) >= least))
+
+    return rows.mapInArrow(judge, T.StructType(docs.schema.fields))

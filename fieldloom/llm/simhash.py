@@ -36,7 +36,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     runs = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)), strict=False)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(r), SEED) for r in runs], "<u8")
+    return majority(np.array([digest(b" ".join(r), SEED) for r in runs], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
     ones = np.zeros(BITS, "i8")
     lanes = hashes.view("u1").reshape(-1, 8)
     if len(hashes) < 64:
@@ -85,15 +89,3 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     fps = materialize(fingerprints(docs, text), "fingerprints")
     return grouped(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id (null, if it is there, counts as smallest here)."""
-    columns = docs.columns
-    inner = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"))
-    inner = with_fingerprints(inner, f"c_{columns.index(text)}")
-    fps = materialize(inner.select("doc_id", "fp"), "fingerprints")
-    first = grouped(fps).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("_k")).select("_k.doc_id", "_k.fp")
-    kept = inner.join(first, ["doc_id", "fp"])
-    order = Window.partitionBy("doc_id", "fp").orderBy("doc_id")
-    return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(columns)])
