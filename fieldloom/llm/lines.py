@@ -13,7 +13,7 @@ that stand earlier in the corpus, and with them the longest run that has an earl
 apart; what crosses their borders is, per part, the earliest place for each prefix length at its first and last suffix.
 
 The corpus is in order of doc_id (null first), then a hash of the text, then line. Edge cases: a null text is empty; rows equal in doc_id and text
-are copies of the first of them, and lose everything if they have MIN_WORDS words; an empty table gives an empty table; texts of any length are
+are copies of the first of them (by a hash of all columns), and lose everything if they have MIN_WORDS words; an empty table gives an empty table; texts of any length are
 treated whole; other columns pass through `dedup` unchanged, whatever their names.
 """
 
@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 
 from fieldloom.llm.shared import materialize, release, text_or_empty
 
-#: Ordinary short lines stay; planted or shared passages have more words than this.
-MIN_WORDS = 40
+#: Words that a run needs to count. Lines of a few words (greetings, headings, list items) recur in clean texts; the README has figures for other values.
+MIN_WORDS = 5
+#: Suffixes that one part holds, about: the number of parts follows the rows.
+PART_ROWS = 50_000
 SPACES = " \t\n\x0b\x0c\r"
 HAS_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LEAST = -(2**63)
@@ -102,7 +104,8 @@ def suffix_ranks(lines: DataFrame, reach: int) -> DataFrame:
 def suffixes(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:
     """(d, t, j, r, hs, ws): every suffix of lines that occur more than once, with its rank and the ids and words of its first min_words lines at most."""
     lines = materialize(line_table(docs, text), "lines")
-    often = lines.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
+    # written before it is joined: a very common line then makes a skewed part of two plain shuffles, which Spark can split
+    often = materialize(lines.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h"), "often")
     again = lines.join(often, "h").dropDuplicates(["d", "t", "j"])
     ranks = suffix_ranks(again.select("d", "t", "j", "h", "w"), min_words)
     frame = Window.partitionBy("d", "t").orderBy("j").rowsBetween(0, min_words - 1)
@@ -193,8 +196,9 @@ def longest_previous(rows: list, first: list, last: list, left: list, right: lis
 
 def earlier_copies(found: DataFrame, min_words: int) -> DataFrame:
     """(d, t, j, n): from line j of a document on, n lines of min_words or more words have an earlier copy."""
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["r", "d", "t", "j"]
+    found = materialize(found, "heads")
+    n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() // PART_ROWS + 1)
     parts = materialize(found.repartitionByRange(n, *order).select(F.spark_partition_id().alias("part"), *found.columns), "order")
     parts = parts.repartition(n, "part").sortWithinPartitions("part", *order).select("part", "d", "t", "j", "hs", "ws")
     edges = carried(parts.mapInArrow(borders, BORDERS).collect())  # one row for each part, of min_words entries at most
@@ -228,7 +232,8 @@ def marked(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:
     runs = copies.groupBy("d", "t").agg(F.collect_list(F.struct("j", "n")).alias("_runs")).withColumnsRenamed({"d": "_d", "t": "_t"})
     keyed = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(docs.columns)], doc_key().alias("_d"), text_key(text).alias("_t"))
     out = keyed.join(runs, ["_d", "_t"], "left")
-    return out.withColumn("_whole", F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_d")) > 1)
+    every = F.xxhash64(*[f"c_{k}" for k in range(len(docs.columns))])
+    return out.withColumn("_whole", F.row_number().over(Window.partitionBy("_d", "_t").orderBy(every)) > 1)
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
