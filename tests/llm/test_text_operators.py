@@ -221,9 +221,11 @@ def strings(seed):
     return rows
 
 
-@pytest.mark.parametrize("many", [2000, 2])
-def test_strings(spark, odd_docs, monkeypatch, many):
+@pytest.mark.parametrize(("many", "sample"), [(2000, 64), (2, 64), (2000, 1)])
+def test_strings(spark, odd_docs, monkeypatch, many, sample):
     monkeypatch.setattr(suffix, "MANY", many)
+    monkeypatch.setattr(suffix, "SAMPLE", sample)
+    monkeypatch.setattr(suffix, "LEAST_SEEN", 2 if sample == 1 else 20)
     df = odd_docs.where("doc_id IS NULL OR doc_id NOT IN (7, 8)").select("doc_id", "text").unionByName(spark.createDataFrame(strings(many), "doc_id long, text string"))
     assert bag(suffix.digests(df).collect()) == cut_bytes(docs_of(df))
 
