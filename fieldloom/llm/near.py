@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.llm.shared import materialize, release, text_or_empty
+from fieldloom.llm.shared import materialize, small, text_or_empty
 from fieldloom.llm.simhash import majority
 
 SHINGLE, JACCARD, SEED = 5, 0.8, 42
@@ -70,20 +70,35 @@ def sketch(own: np.ndarray) -> list[int]:
     return [*least.view("i8").tolist(), *np.array(parts, "u8").view("i8").tolist()]
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(d, t, node, own, anchors, fingerprint) of every row of docs (d, t, text): node names the set of shingles own."""
+def node_of(own: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(d, t, node, some, anchors, fingerprint) of every row of texts (d, t, text): node names its set of shingles, some is whether it has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                sets = [shingles(x.as_py()) for x in batch.column(2)]
-                nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64())
-                numbers = np.array([sketch(s) for s in sets], "i8").reshape(-1, len(SKETCH))
-                columns = [batch.column(0), batch.column(1), nodes, pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(numbers[:, k].copy()) for k in range(len(SKETCH)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "node", "own", *SKETCH])
+                rows = [(node_of(s), len(s) > 0, sketch(s)) for s in (shingles(x.as_py()) for x in batch.column(2))]
+                numbers = np.array([r[2] for r in rows], "i8").reshape(-1, len(SKETCH))
+                columns = [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), *(pa.array(numbers[:, k].copy()) for k in range(len(SKETCH)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "node", "some", *SKETCH])
+
+    return texts.mapInArrow(run, "d long, t long, node long, some boolean, " + ", ".join(f"{c} long" for c in SKETCH))
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, own): the sets of texts (d, t, text), each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                sets = [shingles(x.as_py()) for x in whole.column(2).slice(at, SLICE)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "own"])
 
-    return docs.select("d", "t", "text").mapInArrow(run, "d long, t long, node long, own binary, " + ", ".join(f"{c} long" for c in SKETCH))
+    return texts.mapInArrow(run, "node long, own binary").dropDuplicates(["node"])
 
 
 def variants(nodes: DataFrame) -> DataFrame:
@@ -191,13 +206,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): verified pairs of nodes, enough of them for the components of all that meet."""
-    balls = variants(nodes.where(F.col("_some")))
+    balls = variants(nodes.where("some"))
     found = materialize(neighbours(balls), "met")
-    wanted = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "_k.d", "_k.t"), "node")
-    # the sets of nodes that meet any other; equal rows have equal sets
-    sets = materialize(rows.select("node", "d", "t", "own").join(materialize(wanted, "wanted"), ["node", "d", "t"]).select("node", "own").dropDuplicates(["node"]), "sets")
+    meeting = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(meeting.join(nodes.select("node", "_k.d", "_k.t"), "node").select("d", "t"), "wanted")
+    # the sets of nodes that meet any other, made anew from one text of each
+    sets = materialize(shingle_sets(texts.join(small(wanted), ["d", "t"], "left_semi")), "sets")
     close = found.join(prints(nodes, "a", "x"), "a").join(prints(nodes, "b", "y"), "b").where(apart("x", "y") <= FAR).select("a", "b")
     close = materialize(verified(close, sets), "near")
     rest = materialize(remaining(balls, materialize(components(close), "roots"), materialize(briefs(sets, nodes), "briefs")), "rest")
@@ -206,14 +222,19 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest doc_id (null, if it is there, counts as smallest)."""
-    columns = docs.columns
-    inner = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(text_or_empty(text)).alias("t"))
-    rows = materialize(sketches(inner.select("d", "t", F.col(f"c_{columns.index(text)}").alias("text"))), "sketches")
-    firsts = [F.first(c).alias(c) for c in SKETCH]  # rows of a node agree in them
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("d", "t")).alias("_k"), F.max(F.octet_length("own") > 0).alias("_some"), *firsts), "nodes")
-    roots = components(links(rows, nodes))
-    first = nodes.select("node", "_k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k")).select("_k.d", "_k.t")
-    first = materialize(first, "kept")
-    release(rows)
-    order = Window.partitionBy("d", "t").orderBy(F.xxhash64(*[f"c_{k}" for k in range(len(columns))]), *[F.col(f"c_{k}").cast("string") for k in range(len(columns))])
-    return inner.join(first, ["d", "t"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(columns)])
+    columns = [f"c_{k}" for k in range(len(docs.columns))]
+    inner = docs.select(*[F.col(c).alias(k) for c, k in zip(docs.columns, columns, strict=True)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(text_or_empty(text)).alias("t"))
+    texts = inner.select("d", "t", F.col(columns[docs.columns.index(text)]).alias("text"))
+    rows = materialize(sketches(texts), "sketches")
+    firsts = [F.first(c).alias(c) for c in ("some", *SKETCH)]  # rows of a node agree in them
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("d", "t")).alias("_k"), *firsts), "nodes")
+    roots = components(links(texts, nodes))
+    first = materialize(nodes.select("node", "_k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k")).select("_k.d", "_k.t"), "kept")
+    # texts move only where rows are equal in (d, t), unless very many rows go
+    keys = rows.groupBy("d", "t").agg(F.count(F.lit(1)).alias("_n"))
+    gone = materialize(keys.join(first, ["d", "t"], "left_anti").select("d", "t"), "gone")
+    equal = materialize(keys.where("_n > 1").join(first, ["d", "t"], "left_semi").select("d", "t"), "equal")
+    order = Window.partitionBy("d", "t").orderBy(F.xxhash64(*columns), *[F.col(c).cast("string") for c in columns])
+    one = inner.join(small(equal), ["d", "t"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    out = inner.join(small(gone.unionByName(equal)), ["d", "t"], "left_anti").unionByName(one.select(*inner.columns))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, columns, strict=True)])

@@ -13,16 +13,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one is made on a local master; a cluster's executors could not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+#: Paths of the tables made so far, for those who delete them when they are read no more.
+made: list[str] = []
+#: Rows of two numbers that are broadcast at most (some 30 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its size is checked to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -30,16 +43,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    made.append(path)
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the files of a table made by materialize(); later reads of it would fail."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+        delete(df.sparkSession, path)
 
 
 def text_or_empty(column: str = "text") -> Column:
