@@ -9,11 +9,14 @@ as empty tables; columns besides those of documents, whatever their names, reach
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import bpe, lines, mixing, near, quality
 from fieldloom.llm.queries import tokenizer_path
-from fieldloom.llm.shared import documents, materialize, release
+from fieldloom.llm.shared import delete, documents, made, materialize, release
 
 
 #: Half of what the encoder takes alone: workers still hold memory of the stages before.
@@ -45,7 +48,26 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path(), ids=True, cache_bytes=CACHE_BYTES)
 
 
-STAGES = [("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded)]
+_tables: list[str] = []
+
+
+def tidy(stage: Callable) -> Callable:
+    """The stage, which first deletes the tables that the one before it has left in the shared folder: its rows are written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _tables:
+            delete(spark, _tables.pop())
+        before = len(made)
+        out = stage(spark, docs, sf_dir)
+        _tables.extend(made[before:])
+        del made[before:]
+        return out
+
+    return run
+
+
+STAGES = [(name, tidy(stage)) for name, stage in (("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded))]
 
 #: SQL has neither the classifier nor the tokenizer; tests hold the pipeline against brute force.
 ORACLE_SQL = None
