@@ -2,8 +2,9 @@
 
 Vectors are scaled to length one and cut into halves; each half has a codebook of its own, and the product of both is a grid of cells. A vector
 lies in the cell of its nearest codewords and visits cells in order of summed squared distance, by the multi-sequence
-algorithm. How many cells is calibrated on a bounded sample: enough to find `recall` of the pairs that brute force finds
-there. In each visited cell of its label the cosines with the cell's vectors are taken in double precision, and every pair at the
+algorithm. Codebooks are fitted on a bounded sample. How many cells are visited is calibrated against the whole table: a bounded set of probes is
+compared with every vector, and the cells must hold `recall` of the neighbours found, both of all and on average of a probe. Where too few probes have
+a neighbour at all, made-up ones at exactly the threshold stand in. In each visited cell of its label the cosines with the cell's vectors are taken in double precision, and every pair at the
 threshold or above is a link. A pair counts if either of the two visits the other's cell, once, for both.
 
 Equal vectors are one row with a count before anything is compared. A cell's rows are dealt to blocks of bounded size, so that a crowded cell is
@@ -22,17 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
 from fieldloom.llm.shared import materialize
 
 COSINE, RECALL, SEED = 0.93, 0.99, 42
-#: Vectors that codebooks and the number of visits are fitted on, on average; neighbours in the sample are searched from so many of them.
-SAMPLE, PROBES = 20_000, 2_000
-#: Vectors that a cell should hold; codewords of a half at most; vectors of a block.
-CELL, CODEWORDS, BLOCK = 24, 256, 1024
+#: Vectors that codebooks are fitted on, and probes that visits are calibrated with, on average; probes with neighbours that are enough, else so many are made up for each.
+SAMPLE, PROBES, ENOUGH, MADE_UP = 20_000, 2_000, 50, 4
+#: Vectors that a cell should hold; codewords of a half at most, and vectors of the sample for each; vectors of a block.
+CELL, CODEWORDS, PER_CODEWORD, BLOCK = 24, 2048, 8, 256
 
 
 def multi_sequence(da: np.ndarray, db: np.ndarray, n: int) -> list[int]:
@@ -86,22 +87,64 @@ class MultiIndex:
         return [multi_sequence(p, q, self.visits) for p, q in zip(a, b, strict=True)]
 
 
-def fit(x: np.ndarray, labels: np.ndarray, rows: int, groups: int, least: float = COSINE, recall: float = RECALL) -> MultiIndex:
-    """Codebooks and visits from a sample x of unit vectors. rows, groups: vectors and labels of the whole table; cells grow in number with them."""
+    def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells each x would visit before the given one."""
+        out, n = np.zeros(len(x), "i8"), len(self.second)
+        for k, (a, b) in enumerate(zip(*self.halves(x), strict=True)):
+            out[k] = np.searchsorted(np.sort(b), a[cells[k] // n] + b[cells[k] % n] - a, "left").sum()
+        return out
+
+
+def fit(x: np.ndarray, rows: int, groups: int) -> MultiIndex:
+    """Codebooks from a sample x of unit vectors. rows, groups: vectors and labels of the whole table; codewords grow in number with them."""
     half = x.shape[1] // 2
-    k = int(np.clip(round((rows / max(groups, 1) / CELL) ** 0.5), 1, min(CODEWORDS, len(x))))
-    index = MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k), k * k)
-    cells = index.cells(x)
+    k = int(np.clip(round((rows / max(groups, 1) / CELL) ** 0.5), 1, max(1, min(CODEWORDS, len(x) // PER_CODEWORD))))
+    return MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k), k * k)
+
+
+def made_up(x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each of x again and again, and vectors at cosine `least` to it in random directions."""
     rng = np.random.default_rng(SEED)
-    ranks = []
-    for i in rng.permutation(len(x))[:PROBES]:
-        near = np.flatnonzero((x @ x[i] >= least) & (labels == labels[i]))
-        near = near[near != i]
-        if len(near):
-            order = {c: n for n, c in enumerate(index.visited(x[i : i + 1])[0])}
-            ranks.extend(order[c] for c in cells[near])
-    visits = int(np.quantile(ranks, recall, method="higher")) + 1 if ranks else max(1, k)
-    return MultiIndex(index.first, index.second, min(k * k, max(visits, 2)))
+    x = np.repeat(x, MADE_UP, 0)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    return x, least * x + (1 - least * least) ** 0.5 * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+
+
+def enough(ranks: list[tuple[int, float, float]], recall: float) -> int:
+    """The number of cells that hold `recall` of both weights. ranks: (cells before, weight, other weight)."""
+    if not ranks:
+        return 0
+    r, a, b = (np.array(x, float) for x in zip(*sorted(ranks), strict=True))
+    ok = (np.cumsum(a) >= recall * a.sum() - 1e-9) & (np.cumsum(b) >= recall * b.sum() - 1e-9)
+    return int(r[np.flatnonzero(ok)[0]]) + 1
+
+
+def calibrated(index: MultiIndex, nodes: DataFrame, probes: pd.DataFrame, least: float, recall: float) -> MultiIndex:
+    """index with visits that find `recall` of the probes' neighbours (node, label, v) in the whole table; probes are a bounded set."""
+    x, own = unit(probes["v"]), probes["node"].to_numpy()
+    codes = {label: k for k, label in enumerate(probes["label"].unique())}
+    of = probes["label"].map(codes).to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                y = unit(d["v"])
+                near = (y @ x.T >= least) & (d["label"].map(codes).fillna(-1).to_numpy()[:, None] == of) & (d["node"].to_numpy()[:, None] != own)
+                i, p = np.nonzero(near)
+                pairs, n = np.unique(np.stack([p, index.cells(y[np.unique(i)])[np.unique(i, return_inverse=True)[1]]], 1), axis=0, return_counts=True) if len(i) else (np.zeros((0, 2), "i8"), np.zeros(0, "i8"))
+                yield pd.DataFrame({"probe": pairs[:, 0], "before": index.rank(x[pairs[:, 0]], pairs[:, 1]), "n": n})
+
+    found = nodes.select("node", "label", "v").mapInPandas(run, "probe long, before long, n long").groupBy("probe", "before").agg(F.sum("n").alias("n"))
+    found = materialize(found, "ranks")  # a row for each cell with neighbours of a probe
+    with_any = found.select("probe").distinct().count()
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("probe"))
+    ranks = [tuple(r) for r in found.withColumn("s", share).groupBy("before").agg(F.sum("s"), F.sum("n")).collect()]
+    visits = enough(ranks, recall)
+    if with_any < ENOUGH:
+        a, b = made_up(x, least)
+        visits = max(visits, enough([(int(r), 1.0, 1.0) for r in index.rank(a, index.cells(b))], recall))
+    return MultiIndex(index.first, index.second, min(len(index.first) * len(index.second), max(visits, 2)))
 
 
 def valid(v: str, size: Column | int) -> Column:
@@ -142,8 +185,12 @@ def compare(least: float):
         p, m = probes["node"].to_numpy(), members["m_node"].to_numpy()
         near = (x @ y.T >= least) & (p[:, None] != m[None, :])
         # a pair in which the member visits the searcher's cell too is found from there as well: that search counts for the member
-        visits = [set(v) for v in members["m_visits"]]
-        one_way = near & np.array([[c not in v for v in visits] for c in probes["home"]], bool).reshape(near.shape) if near.any() else near
+        if near.any():
+            homes, inverse = np.unique(probes["home"].to_numpy(), return_inverse=True)
+            visits = np.stack(members["m_visits"].to_list())
+            one_way = near & ~np.stack([(visits == h).any(1) for h in homes])[inverse]
+        else:
+            one_way = near
         for_probe = near @ members["m_n"].to_numpy()
         for_member = probes["n"].to_numpy() @ one_way
         links = forest(near, p, m) if near.any() else []
@@ -160,17 +207,23 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = R
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label"))
     sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").where("n > 1").first()
     dim = sizes["n"] if sizes else 2
-    good = rows.where(valid("v", dim) & F.col("label").isNotNull())
-    # equal vectors of a label are one node, named by its smallest vec_id
-    nodes = materialize(good.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    ok = valid("v", dim) & F.col("label").isNotNull()
+    # equal vectors of a label are one node, named by two hashes, so that rows find it without moving their vectors
+    keyed = rows.where(ok).withColumns({"k1": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit(SEED), F.reverse("v"), "label")})
+    nodes = keyed.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     total, groups = nodes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pick = F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / total) * 1_000_000) + 1
-    sample = nodes.where(pick).select("label", "v").toPandas()  # SAMPLE rows, give or take
-    if not len(sample):
-        sample = nodes.select("label", "v").limit(SAMPLE).toPandas()
-    index = fit(unit(sample["v"]), pd.factorize(sample["label"])[0], total, groups, least, recall)
+
+    def drawn(seed: int, n: int) -> pd.DataFrame:
+        """n nodes, give or take, by a hash; one at least."""
+        pick = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(1_000_000))
+        some = nodes.where(pick < int(min(1.0, n / total) * 1_000_000) + 1).select("node", "label", "v").toPandas()
+        return some if len(some) else nodes.orderBy(pick, "k1", "k2").limit(1).select("node", "label", "v").toPandas()
+
+    index = fit(unit(drawn(SEED, SAMPLE)["v"]), total, groups)
+    index = calibrated(index, nodes, drawn(SEED + 1, PROBES), least, recall)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -178,7 +231,8 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = R
                 x = unit(d["v"])
                 yield d.assign(home=index.cells(x), visits=index.visited(x))
 
-    placed = materialize(nodes.mapInPandas(place, f"{nodes._jdf.schema().toDDL()}, home long, visits array<long>"), "cells")
+    to_place = nodes.select("node", "label", "n", "v")
+    placed = materialize(to_place.mapInPandas(place, f"{to_place._jdf.schema().toDDL()}, home long, visits array<long>"), "cells")
     deal = lambda c, salt, n: F.pmod(F.xxhash64(F.lit(salt), c), n)
     homes = placed.groupBy("label", "home").agg(F.count(F.lit(1)).alias("_m")).withColumnRenamed("home", "cell")
     coming = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("_p"))
@@ -191,11 +245,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = R
     found = materialize(found, "links")
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("n").alias("_links"))
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
+    rooted = nodes.select("node", "k1", "k2", "vec_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counts, "node", "left")
     ids = rooted.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    known = rooted.join(ids, "root").select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    # only rows whose vector can link look for their node
-    ok = valid("v", dim) & F.col("label").isNotNull()
-    linked = rows.where(ok).join(known, (F.col("label") == F.col("_label")) & (F.col("v") == F.col("_v"))).select("vec_id", "n_links", "component_id")
+    known = materialize(rooted.join(ids, "root").select("k1", "k2", (F.coalesce("_links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "known")
+    linked = keyed.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))

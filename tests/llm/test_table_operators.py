@@ -111,6 +111,20 @@ def test_embeddings(spark):
     assert embed.near_duplicates(df.where("vec_id = 700")).first()["n_links"] == 0
 
 
+def test_recall_where_no_pair_is_in_the_sample(spark, monkeypatch):
+    """Few pairs just over the threshold among many vectors, codebooks from a small sample: visits are calibrated on the whole table."""
+    monkeypatch.setattr(embed, "SAMPLE", 300)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ends, near = embed.made_up(x[:400], 0.935)
+    rows = [(k, v, 1) for k, v in enumerate([*x.tolist(), *near[:: embed.MADE_UP].tolist()])]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    every = np.concatenate([x, near[:: embed.MADE_UP]])
+    want = int((every @ every.T >= 0.93).sum()) - len(every)
+    assert want >= 800 and sum(r["n_links"] for r in got) >= 0.9 * want
+
+
 def test_no_pair_below_the_threshold(spark):
     rng = np.random.default_rng(3)
     rows = [(k, v, 1) for k, v in enumerate(rng.normal(size=(200, 32)).tolist())]
