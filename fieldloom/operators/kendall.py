@@ -59,12 +59,13 @@ def mann_kendall(values: DataFrame, value: str = "trend", ties: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("x").to_pylist()
-            if not rows:
+            if not batch.num_rows:
                 continue
-            x = np.full((len(rows), max(map(len, rows))), np.nan)  # months are in order; their distance doesn't count
-            for k, r in enumerate(rows):
-                x[k, : len(r)] = [y["v"] for y in r]
+            lists = batch.column("x")
+            sizes = lists.value_lengths().to_numpy()
+            flat = lists.flatten().field("v").to_numpy(zero_copy_only=False)
+            x = np.full((len(sizes), max(sizes.max(), 1)), np.nan)  # months are in order; their distance doesn't count
+            x[np.arange(x.shape[1]) < sizes[:, None]] = flat
             got = statistics(x, ties)
             kinds = {"n": pa.int32(), "s": pa.int64(), "tau": pa.float64(), "z": pa.float64(), "p": pa.float64()}
             yield pa.RecordBatch.from_arrays([batch.column("cell_id"), *[pa.array(got[k], t) for k, t in kinds.items()]], names=["cell_id", *kinds])

@@ -43,6 +43,11 @@ def profile(cells: DataFrame, n_cells: int, n_months: int) -> DataFrame:
     return cells.agg(F.count("v").alias("n_valid"), F.count_distinct("cell_id").alias("n_cells"), F.count_distinct("t").alias("n_months"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), (1 - F.count("v") / F.lit(float(n_cells * n_months))).alias("missing"))
 
 
+def months_with_layer(cells: DataFrame, has_layer: str = "has_qa", month: str = "t") -> DataFrame:
+    """(months, with_layer): months that are there, and those of them with a quality layer."""
+    return cells.agg(F.count_distinct(month).alias("months"), F.count_distinct(F.when(F.col(has_layer), F.col(month))).alias("with_layer"))
+
+
 def qa_stats(quality: DataFrame, month: str = "t") -> DataFrame:
     """Cells by month and quality code."""
     return quality.groupBy(month, "qa").agg(F.count(F.lit(1)).alias("n"))

@@ -63,9 +63,17 @@ def slice_month(cube: DataFrame, spine: DataFrame, year: int, month: int) -> Dat
 
 
 def densify(cube: DataFrame, spine: DataFrame) -> DataFrame:
-    """Every month of the spine for every observed cell; v is null in gaps. spine: one row for each month, broadcast."""
-    cells = cube.select("cell_id").distinct()
-    return cells.crossJoin(F.broadcast(spine)).join(cube.drop("year", "month"), ["cell_id", "t"], "left")
+    """Every month of the spine for every observed cell; v is null in gaps. spine: one row for each month, broadcast.
+
+    A cell's months meet once, as a list no longer than the spine, and the missing ones are added there: one shuffle, by cell, which all windows then use.
+    """
+    others = [c for c in cube.columns if c not in ("cell_id", "year", "month")]
+    kinds = {f.name: f.dataType for f in cube.schema.fields}
+    months = spine.agg(F.collect_list(F.col("t").cast(kinds["t"])).alias("_ts"))  # one row
+    cells = cube.groupBy("cell_id").agg(F.collect_list(F.struct(*others)).alias("_o")).crossJoin(F.broadcast(months))
+    gap = lambda t: F.struct(*[(t if c == "t" else F.lit(None).cast(kinds[c])).alias(c) for c in others])
+    missing = F.transform(F.array_except("_ts", F.transform("_o", lambda x: x["t"])), gap)
+    return cells.select("cell_id", F.inline(F.concat("_o", missing))).join(F.broadcast(spine.select("t", "year", "month")), "t")
 
 
 def trend(v: Column, last_t: int, period: int = PERIOD) -> Column:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fieldloom.grid import GridSpec, all_cells, decimate, upscale
 from fieldloom.operators import breakpoint, kendall, points, spatial, temporal
+from fieldloom.sources.scratch import stored
 
 FEATURES = ("f1_mean", "f2_clim_june", "f3_anomaly_mean", "f4_trend_mean", "f5_residual_mean", "f6_mk_tau", "f7_cvsi_mean", "f8_lisa", "f9_below", "f10_points")
 
 
 def dense_frame(cube: DataFrame, spine: DataFrame, base: tuple[int, int], last_t: int) -> DataFrame:
     """Every month of each observed cell with delta, trend, seasonal and resid: one exchange by cell, all windows on it."""
-    dense = temporal.densify(cube.select("cell_id", "t", "year", "month", "v"), spine).repartition("cell_id")
+    dense = temporal.densify(cube.select("cell_id", "t", "year", "month", "v"), spine)
     return temporal.decompose(temporal.anomaly(dense, base), last_t)
 
 
@@ -35,9 +36,10 @@ def coarse_classes(means: DataFrame, grid: GridSpec, stride: int, **how) -> Data
 
 def features(cube: DataFrame, snapped: DataFrame, spine: DataFrame, grid: GridSpec, base: tuple[int, int], k: int, theta: float, stride: int = 8, **how) -> DataFrame:
     """cell_id, row, col and the ten features of every cell of the grid."""
-    last_t = spine.agg(F.max("t")).first()[0]
+    last_t = spine.agg(F.max("t")).first()[0]  # one number, from one row for each month
+    cube = stored(cube, "cube")
     frame = dense_frame(cube, spine, base, last_t)
-    timed = temporal_features(frame, k)
+    timed = stored(temporal_features(frame, k), "timed")
     tau = kendall.mann_kendall(frame.select("cell_id", "t", "trend")).select("cell_id", F.col("tau").alias("f6_mk_tau"))
     cells = all_cells(cube.sparkSession, grid)
     wide = cells.join(timed, "cell_id", "left").join(tau, "cell_id", "left").join(points.rasterize_count(snapped).select("cell_id", F.col("n_points").alias("f10_points")), "cell_id", "left")
@@ -53,12 +55,21 @@ def feature_summary(table: DataFrame) -> DataFrame:
 
 
 def lag_scores(index: DataFrame, dated: DataFrame, burned: DataFrame, ks: range = range(1, 7), bins: int = 10, seed: int = 42, least: int = 50) -> DataFrame:
-    """(k, mi, n_pos, n_neg): mutual information of each lag's index with having points, against an equal number of cell-months without."""
-    rows = points.labelled(points.at_points(index, dated, ks), points.background(index, burned, ks))
-    counts = rows.groupBy("k").agg(F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") == 0).alias("_neg"))
-    drawn = rows.join(F.broadcast(counts), "k").withColumn("_h", points.draw(["cell_id", "t"], seed))  # one row for each k
-    share = F.least(F.lit(1.0), (F.col("_pos") * 1.2 + 5 * F.sqrt(F.col("_pos").cast("double")) + 100) / F.col("_neg"))
-    cut = drawn.where((F.col("y") == 1) | (F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") <= share * float(16**8)))
-    rank = F.row_number().over(Window.partitionBy("k", "y").orderBy("_h", "cell_id", "t"))
-    balanced = cut.withColumn("_r", rank).where((F.col("y") == 1) | (F.col("_r") <= F.col("_pos"))).select("k", "y", "x")
-    return points.mutual_information(points.quantile_bins(balanced, ["k"], "x", bins), ["k"], least)
+    """(k, mi, n_pos, n_neg): mutual information of each lag's index with having points, against an equal number of cell-months without.
+
+    Cell-months are marked and hashed once for all lags; those that no lag can draw go before lags become rows.
+    """
+    n = dated.groupBy("cell_id", "t").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    hit = burned.select("cell_id").distinct().withColumn("_hit", F.lit(True))
+    marked = index.join(n, ["cell_id", "t"], "left").join(hit, "cell_id", "left").where("_n IS NOT NULL OR _hit IS NULL")
+    marked = stored(marked.select("cell_id", "t", "_n", *[F.when(F.col("t") >= k, F.col(f"cvsi_{k}")).alias(f"cvsi_{k}") for k in ks], points.draw(["cell_id", "t"], seed).alias("_h")), "marked")
+    counts = marked.agg(*[F.struct(F.coalesce(F.sum(F.when(F.col(f"cvsi_{k}").isNotNull(), F.col("_n"))), F.lit(0)).alias("pos"), F.count(F.when(F.col("_n").isNull(), F.col(f"cvsi_{k}"))).alias("neg")).alias(f"_c{k}") for k in ks])
+    share = {k: F.least(F.lit(1.0), (F.col(f"_c{k}.pos") * 1.2 + 5 * F.sqrt(F.col(f"_c{k}.pos").cast("double")) + 100) / F.nullif(F.col(f"_c{k}.neg"), F.lit(0))) for k in ks}
+    at = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
+    rows = marked.crossJoin(F.broadcast(counts)).withColumn("_at", at).where(F.col("_n").isNotNull() | (F.col("_at") <= F.greatest(*share.values())))  # one row of counts
+    lags = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"cvsi_{k}").alias("x"), F.col(f"_c{k}.pos").alias("_pos"), share[k].alias("_share")) for k in ks])
+    long = rows.select("cell_id", "t", "_n", "_h", "_at", F.inline(lags)).where("x IS NOT NULL AND (_n IS NOT NULL OR _at <= _share)")
+    rank = F.row_number().over(Window.partitionBy("k", "_y").orderBy("_h", "cell_id", "t"))
+    drawn = long.withColumn("_y", F.col("_n").isNotNull().cast("int")).withColumn("_r", rank).where("_y = 1 OR _r <= _pos")
+    balanced = drawn.withColumn("_i", F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1))))).select("k", F.col("_y").alias("y"), "x")
+    return points.mutual_information(points.quantile_bins(stored(balanced, "balanced"), ["k"], "x", bins), ["k"], least)

@@ -13,6 +13,7 @@ from fieldloom.plans import features as plan
 from fieldloom.plans import tables as T
 from fieldloom.plans.tables import rounded
 from fieldloom.sources import granules
+from fieldloom.sources.scratch import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,9 +195,15 @@ def anomaly_range(spark, d):
 
 @query(q("cell_id, t, " + r("v", "delta"), "deltas WHERE t = 41", DELTAS))
 def slice_month(spark, d):
+    """The spine's middle month, as it lacks the one asked for."""
     return rounded(temporal.slice_month(deltas(spark, d), T.spine(spark), 2016, 3).select("cell_id", "t", "v", "delta"))
 
 
+@query(q("cell_id, t, " + r("v", "delta"), "deltas WHERE year = 1998 AND month = 6", DELTAS))
+def slice_present_month(spark, d):
+    return rounded(temporal.slice_month(deltas(spark, d), T.spine(spark), 1998, 6).select("cell_id", "t", "v", "delta"))
+
+
 def frame(spark, d):
     return plan.dense_frame(T.cube(spark, d), T.spine(spark), T.BASE, T.MONTHS - 1)
 
@@ -253,9 +260,12 @@ def mann_kendall(spark, d):
     return rounded(kendall.mann_kendall(frame(spark, d).select("cell_id", "t", "trend")).select("cell_id", "n", "s", "tau", "z"))
 
 
-@query()
+@query(f"""WITH {RAW}, x AS (SELECT cell_id, t, round(v, 9) AS x FROM cube), pairs AS (SELECT a.cell_id, CAST(sum(sign(b.x - a.x)) AS BIGINT) AS s FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.t < b.t GROUP BY 1),
+ties AS (SELECT cell_id, CAST(sum(c) AS DOUBLE) AS n, sum(c * (c - 1) / 2.0) AS same, sum(c * (c - 1) * (2.0 * c + 5)) AS v FROM (SELECT cell_id, x, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY ALL) GROUP BY 1)
+SELECT cell_id, CAST(n AS INTEGER) AS n, coalesce(s, 0) AS s, round(CASE WHEN n >= 10 AND n * (n - 1) / 2 > same THEN s / sqrt(n * (n - 1) / 2 * (n * (n - 1) / 2 - same)) END, 9) + 0.0 AS tau,
+  round(CASE WHEN n >= 10 AND n * (n - 1) / 2 > same THEN s / sqrt((n * (n - 1) * (2 * n + 5) - v) / 18) END, 9) + 0.0 AS z FROM ties LEFT JOIN pairs USING (cell_id)""")
 def kendall_tau_b(spark, d):
-    return rounded(kendall.mann_kendall(T.cube(spark, d), "v", ties=True))
+    return rounded(kendall.mann_kendall(T.cube(spark, d), "v", ties=True).drop("p"))
 
 
 @query(q("CASE WHEN abs(z) > 1.959963984540054 AND tau < 0 THEN 'browning' WHEN abs(z) > 1.959963984540054 AND tau > 0 THEN 'greening' ELSE 'none' END AS class, count(*) AS n", "tests GROUP BY 1", KENDALL))
@@ -297,6 +307,14 @@ def match_counts(spark, d):
     return points.match_counts(snapped(spark, d), T.spine(spark))
 
 
+@query(q("latitude, longitude, acq_date, year, month", "events_", POINTS.replace("CAST(year(o_orderdate)", "CAST(o_orderdate AS DATE) AS acq_date, CAST(year(o_orderdate)", 1)))
+def point_file(spark, d):
+    """Points written as CSV to the shared folder and read back by the reader of point files."""
+    path = new_path(spark, "points")
+    T.point_events(spark, d).write.option("header", True).csv(path)
+    return granules.read_points(spark, path)
+
+
 @query(q("t, count(*) AS n", "snapped JOIN spine USING (year, month) WHERE in_bounds GROUP BY t", POINTS + ", " + SPINE))
 def points_by_month(spark, d):
     return points.points_by_month(snapped(spark, d), T.spine(spark)).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
@@ -382,6 +400,27 @@ def local_moran(spark, d):
     return rounded(spatial.local_moran(coarse(spark, d)).select("row", "col", "local_i", "quadrant", "z_i"))
 
 
+#: Classes by the analytic p: half the two-sided tail below 0.05, so |z_i| over this bound.
+CLASSED = LATTICE + """, zi AS (SELECT lagged.*, CASE WHEN n_neighbours > 0 THEN (lag + z / (cnt - 1)) / sqrt(((cnt - z * z) / (cnt - 1) - z * z / ((cnt - 1) * (cnt - 1))) / n_neighbours * (cnt - 1 - n_neighbours) / (cnt - 2)) END AS z_i
+  FROM lagged, (SELECT CAST(count(*) AS DOUBLE) AS cnt FROM lagged)),
+classed AS (SELECT "row", col, CASE WHEN f1_mean IS NULL THEN -1 WHEN abs(z_i) > 1.6448536269514722 THEN CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN NOT z > 0 AND lag > 0 THEN 2 WHEN NOT z > 0 AND NOT lag > 0 THEN 3 ELSE 4 END ELSE 0 END AS cls FROM zi)"""
+
+
+@query(q('"row", col, cls', "classed", CLASSED))
+def lisa_analytic(spark, d):
+    return spatial.lisa(coarse(spark, d), p="analytic", had_data="f1_mean").select("row", "col", "cls")
+
+
+@query(q("cls, count(*) AS n, " + r("100.0 * count(*) / sum(count(*)) OVER () AS percent"), "classed GROUP BY cls", CLASSED))
+def lisa_class_counts(spark, d):
+    return rounded(spatial.class_counts(spatial.lisa(coarse(spark, d), p="analytic", had_data="f1_mean")))
+
+
+@query(q("count(DISTINCT t) AS months, count(DISTINCT CASE WHEN t % 41 <> 7 THEN t END) AS with_layer", "raw"))
+def quality_months(spark, d):
+    return quality.months_with_layer(T.raw_cells(spark, d))
+
+
 @query()
 def lisa(spark, d):
     return rounded(spatial.lisa(coarse(spark, d), had_data="f1_mean").select("row", "col", "quadrant", "p_sim", "cls"))
@@ -443,6 +482,16 @@ def zone_thresholds(spark, d):
     return breakpoint.zone_thresholds(fits(spark, d))
 
 
+@query(f"""WITH {ZONED}, fits AS (SELECT zone, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90 FROM everything WHERE x IS NOT NULL GROUP BY zone),
+grid_ AS (SELECT zone, i / 199.0 AS x, CASE WHEN i / 199.0 <= (p10 + p90) / 2 THEN p10 + 2.0 * (i / 199.0) ELSE p90 - 3.0 * (i / 199.0) END AS u FROM fits, range(200) r(i))
+SELECT zone, round(x, 9) + 0.0 AS x, round(1 / (1 + exp(-u)), 9) + 0.0 AS p FROM grid_""")
+def predict_curve(spark, d):
+    """Curves of given parameters, taken from each zone's quantiles; predict_breakpoint has those of the fit."""
+    ends = breakpoint.theta_range(zoned(spark, d).where("x IS NOT NULL"))
+    fits_ = ends.select("zone", ((F.col("p10") + F.col("p90")) / 2).alias("theta"), F.col("p10").alias("a1"), F.lit(2.0).alias("b1"), F.col("p90").alias("a2"), F.lit(-3.0).alias("b2"))
+    return rounded(breakpoint.predict_breakpoint(fits_))
+
+
 @query()
 def predict_breakpoint(spark, d):
     return breakpoint.predict_breakpoint(fits(spark, d))
@@ -457,24 +506,41 @@ def below_threshold(spark, d):
 # the feature table
 
 
-def feature_table(spark, d):
-    return plan.features(T.cube(spark, d), snapped(spark, d), T.spine(spark), T.grid(spark, d), T.BASE, 6, 0.4, STRIDE)
+def feature_table(spark, d, **how):
+    return plan.features(T.cube(spark, d), snapped(spark, d), T.spine(spark), T.grid(spark, d), T.BASE, 6, 0.4, STRIDE, **how)
+
+
+def checked_features(spark, d):
+    """All ten features, the classes by the analytic p, which SQL can follow; doubles rounded."""
+    return rounded(feature_table(spark, d, p="analytic").withColumn("f7_cvsi_mean", F.round("f7_cvsi_mean", 6)))
+
 
+WIDE = f"""{KENDALL}, {CLASSED.removeprefix(RAW + ", ")}, timed AS (SELECT cell_id, avg(v) AS f1_mean, max(CASE WHEN month = 6 THEN clim END) AS f2_clim_june, avg(delta) AS f3_anomaly_mean, avg(trend) AS f4_trend_mean, avg(resid) AS f5_residual_mean FROM frame GROUP BY 1),
+s7 AS (SELECT cell_id, avg(cvsi_6) AS f7_cvsi_mean FROM stress GROUP BY 1),
+wide AS (SELECT cells.cell_id, cells."row", cells.col, {r("f1_mean", "f2_clim_june", "f3_anomaly_mean", "f4_trend_mean", "f5_residual_mean", "tau AS f6_mk_tau")}, round(f7_cvsi_mean, 6) + 0.0 AS f7_cvsi_mean, cls AS f8_lisa, coalesce(CAST(f1_mean < 0.4 AS DOUBLE), 0.0) AS f9_below, coalesce(n_points, 0) AS f10_points
+FROM (SELECT cells.*, (high + 1) // 2 AS hc FROM cells, size) cells LEFT JOIN timed USING (cell_id) LEFT JOIN tests USING (cell_id) LEFT JOIN s7 USING (cell_id) LEFT JOIN counts USING (cell_id)
+LEFT JOIN classed ON classed."row" = round_even(cells."row" * CAST(hc - 1 AS DOUBLE) / greatest(hc * 2 - 1, 1), 0) AND classed.col = round_even(cells.col * CAST(4 AS DOUBLE) / 9, 0))"""
+TALL = WIDE + ", tall AS (" + " UNION ALL ".join(f"""SELECT cell_id, "row", col, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM wide""" for f in plan.FEATURES) + ")"
 
-@query(f"""WITH {KENDALL}, {POINTS}, {CELLS}, timed AS (SELECT cell_id, avg(v) AS f1_mean, max(CASE WHEN month = 6 THEN clim END) AS f2_clim_june, avg(delta) AS f3_anomaly_mean, avg(trend) AS f4_trend_mean, avg(resid) AS f5_residual_mean FROM frame GROUP BY 1),
-s7 AS (SELECT cell_id, avg(cvsi_6) AS f7_cvsi_mean FROM stress GROUP BY 1)
-SELECT cell_id, "row", col, {r("f1_mean", "f2_clim_june", "f3_anomaly_mean", "f4_trend_mean", "f5_residual_mean", "tau AS f6_mk_tau")}, round(f7_cvsi_mean, 6) + 0.0 AS f7_cvsi_mean, coalesce(CAST(f1_mean < 0.4 AS DOUBLE), 0.0) AS f9_below, coalesce(n_points, 0) AS f10_points
-FROM cells LEFT JOIN timed USING (cell_id) LEFT JOIN tests USING (cell_id) LEFT JOIN s7 USING (cell_id) LEFT JOIN counts USING (cell_id)""")
+
+@query(f"WITH {WIDE} SELECT * FROM wide")
 def features(spark, d):
-    """All features but f8, whose pseudo-p has no SQL."""
-    return rounded(feature_table(spark, d).drop("f8_lisa").withColumn("f7_cvsi_mean", F.round("f7_cvsi_mean", 6)))
+    return checked_features(spark, d)
 
 
-@query()
+@query(f"WITH {TALL} SELECT * FROM tall")
 def features_long(spark, d):
-    return rounded(granules.long_features(feature_table(spark, d)))
+    return granules.long_features(checked_features(spark, d))
 
 
-@query()
+@query(f"""WITH {TALL} SELECT *, 'tables' AS source FROM tall""")
+def feature_sink(spark, d):
+    """Features written a folder for each to the shared folder, with a tag, and read back."""
+    path = new_path(spark, "sink")
+    granules.write_features(checked_features(spark, d), path, {"source": "tables"})
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {TALL} SELECT feature, count(value) AS n, {r('avg(value) AS mean')}, min(value) AS min, max(value) AS max FROM tall GROUP BY feature")
 def feature_summary(spark, d):
-    return rounded(plan.feature_summary(feature_table(spark, d)))
+    return rounded(plan.feature_summary(checked_features(spark, d)))
