@@ -53,7 +53,10 @@ def test_mixing(spark, odd_docs, no_docs):
             limit[source[r["doc_id"]]] = r["target"]
     assert all(abs(taken[s] - limit[s]) <= 40 for s in limit)
     copies = mixing.apply(odd_docs)
-    assert copies.columns == odd_docs.columns and copies.count() > 0
+    per = Counter()
+    for r in mixing.per_document(odd_docs).where("size > 0").collect():
+        per[r["doc_id"]] += r["taken"] // r["size"]
+    assert copies.columns == odd_docs.columns and Counter(r["doc_id"] for r in copies.collect()) == +per and sum(per.values()) > 0
     assert mixing.per_document(no_docs).count() == 0 and mixing.apply(no_docs).count() == 0
 
 
@@ -146,6 +149,29 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_scores_are_those_of_a_plain_discriminant(spark):
+    """Densities by inverses and determinants, from all labelled rows at once."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model, feats = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in quality.score(feats, model).collect()}
+    x = {r["doc_id"]: np.array(quality.statistics(r["text"] or "")) for r in docs.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in x and not got[r["doc_id"]]["held_out"]}
+    own = [np.array([x[i] for i in y if y[i] == k]) for k in (0, 1)]
+    covs = [np.cov(a.T, bias=True) for a in own]
+    pooled = sum(len(a) * c for a, c in zip(own, covs)) / len(y)
+
+    def density(v, k):
+        c = 0.9 * covs[k] + 0.1 * pooled
+        c = 0.98 * c + 0.02 * (np.trace(c) / len(c) + 1e-9) * np.eye(len(c))
+        d = v - own[k].mean(0)
+        return np.log(len(own[k]) / len(y)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * d @ np.linalg.inv(c) @ d
+
+    for i, v in x.items():
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(density(v, 1) - density(v, 0), -500, 500))), abs=1e-6)
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if r["score"] >= 0.5}
+
+
 def test_quality_edges(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([*((k, 1) for k in range(5, 13)), (None, 1), (4, None)], "doc_id long, quality int")
     model, feats = quality.train(odd_docs, labels)
@@ -224,6 +250,14 @@ def test_many_near_copies_are_one(spark):
     assert [r["doc_id"] for r in near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_pipeline_takes_odd_rows(spark, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), docs.schema)
+            assert docs.columns == odd_docs.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
 def test_pipeline_leaves_no_near_copies(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_copy(spark, docs, SMALL).collect()]

@@ -306,3 +306,27 @@ def test_trees_leave_plain_text_alone(spark):
     clean = pii.redact(spark.createDataFrame(rows[:200] + rows[-1:], "doc_id long, text string")).collect()
     assert all("[email]" in r["text"] and "@" not in r["text"] for r in clean if r["doc_id"] < 1000)
     assert [r["text"] for r in clean if r["doc_id"] == 1000] == [rows[-1][1]]
+
+
+def test_loose_forms_are_added_and_look_alikes_are_not(spark):
+    rng = np.random.default_rng(6)
+    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        d = "4" + num(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    rows = []
+    for k in range(400):  # base forms to learn from, and numbers that fail their checks
+        rows.append((k, f"ein haus ann{k}.x@mail.example.com und +1 ({num(3)}) {num(3)}-{num(4)} alt {card()} neu {num(2)}.{num(2)}.1.7 mit {num(16)[:15]} in {num(9)} am 2024-0{k % 9 + 1}-1{k % 9} 12:3{k % 10}:15 foo@bar"))
+    for k in range(60):
+        c = card()
+        rows.append((1000 + k, f"der haus bob{k}.smith [at] mail{k % 7} [dot] com und die karte {c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]} oder call ({num(3)}) 555-{num(4)} bald"))
+        rows.append((2000 + k, f"on 2024-0{k % 9 + 1}-1{k % 9} at 12:3{k % 10}:45 order {10000000 + k * 7919} costs 12.{k:02d} by foo@bar version 300.1.{k}.900"))
+    out = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(out[1000 + k]["n_added"] for k in range(60))
+    assert found >= 0.95 * 180 and all(out[1000 + k]["n_email"] == out[1000 + k]["n_phone"] == 0 for k in range(60))
+    assert sum(out[2000 + k]["n_added"] for k in range(60)) == 0
+    texts = dict(rows)
+    for i, r in out.items():
+        assert r["base_sha256"] == sha(",".join(base(texts[i]))) and set(base(texts[i])) <= set(r["spans"].split(",") if r["spans"] else [])
