@@ -69,7 +69,7 @@ def tidy(stage: Callable) -> Callable:
 
 STAGES = [(name, tidy(stage)) for name, stage in (("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded))]
 
-#: SQL has neither the classifier nor the tokenizer; tests hold the pipeline against brute force.
+#: SQL has neither the classifier nor the tokenizer; tests hold each stage's operator against brute force, and the third stage also on the pipeline's own rows.
 ORACLE_SQL = None
 
 

@@ -186,3 +186,16 @@ def test_one_exchange_by_cell(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert text.split("REPARTITION_BY_COL")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_dense_frame_moves_the_cube_once(spark):
+    from fieldloom.plans.features import dense_frame, temporal_features
+    from fieldloom.sources.granules import month_spine
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cube = dense(spark, {1: [0.1] * 30, 2: [0.2] * 30}, 30).where("v IS NOT NULL")
+        text = temporal_features(dense_frame(cube, month_spine(spark, (2000, 1), (2002, 6)), (2000, 2001), 29), 6)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert text.count("Exchange hashpartitioning") == 1
