@@ -123,10 +123,10 @@ def mask_quality(spark, d):
     return rounded(T.masked(spark, d).select("cell_id", "t", "v"))
 
 
-@query(f"WITH {RAW}, vals AS (SELECT cell_id, t, avg(v) AS v FROM ranged GROUP BY ALL), codes AS (SELECT cell_id, t, min(qa) AS qa FROM raw WHERE t % 41 <> 7 AND cell_id % 7 <> 3 GROUP BY ALL) SELECT cell_id, t, round(CASE WHEN t NOT IN (SELECT t FROM codes) OR qa IN (0, 1) THEN v END, 9) + 0.0 AS v FROM vals LEFT JOIN codes USING (cell_id, t)")
+@query(f"WITH {RAW}, vals AS (SELECT cell_id, t, avg(v) AS v FROM ranged GROUP BY ALL), codes AS (SELECT cell_id, t, min(qa) AS qa FROM raw WHERE t % 41 <> 7 GROUP BY ALL) SELECT cell_id, t, round(CASE WHEN t NOT IN (SELECT t FROM codes) OR qa IN (0, 1) THEN v END, 9) + 0.0 AS v FROM vals LEFT JOIN codes USING (cell_id, t)")
 def mask_quality_joined(spark, d):
     values = quality.mask_range(T.rescaled(spark, d)).groupBy("cell_id", "t").agg(F.avg("v").alias("v"))
-    codes = T.raw_cells(spark, d).where("has_qa AND cell_id % 7 <> 3").groupBy("cell_id", "t").agg(F.min("qa").alias("qa"))
+    codes = T.raw_cells(spark, d).where("has_qa").groupBy("cell_id", "t").agg(F.min("qa").alias("qa"))
     return rounded(quality.mask_quality(values, codes, ["t"], ["cell_id"]).select("cell_id", "t", "v"))
 
 
