@@ -22,16 +22,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.bpe import CACHE_BYTES, WordCache, cut
+from fieldloom.llm.bpe import CACHE_BYTES, WordCache
 from fieldloom.llm.shared import shared_dir, text_or_empty
 
 #: A segment is closed when it holds so many ids.
 SEGMENT_IDS = 1 << 17
 BLOCK = 512
-TOGETHER = 500
+#: Words that go to the library together, the mark between them, and bytes of texts that are worked on at once.
+TOGETHER, MARK, AT_ONCE = 500, "\x01", 1 << 22
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -106,26 +108,47 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.words = WordCache(self.by_library, cache_bytes)
 
     def by_library(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words go to the library together, parted by blanks; an id belongs to the word in which its text begins."""
+        """Ids of each word. Words go to the library together, parted by a mark of one id; where that id comes up otherwise too, each word goes alone."""
         out: list[bytes] = []
         for k in range(0, len(words), TOGETHER):
             own = words[k : k + TOGETHER]
-            found = self.library.encode(" ".join(own), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in own)])
-            of = np.searchsorted(starts, [a for a, _ in found.offsets], "right") - 1
-            ends = 4 * np.cumsum(np.bincount(of, minlength=len(own)))
-            raw, at = np.array(found.ids, "<u4").tobytes(), 0
-            for end in ends.tolist():
-                out.append(raw[at:end])
-                at = end
+            found = self.library.encode_batch_fast([f" {MARK} ".join(own)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(self.mark) > 1 or len(at) != len(own) - 1:
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(own, add_special_tokens=False)]
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)]
         return out
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        return b"".join([b"".join(self.words(w)) for w in cut(text)])
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts (null: empty), one after another, and the number of ids of each. A word is looked up once for all of them."""
+        cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        own = cut.flatten().dictionary_encode()
+        codes = self.words(own.dictionary.to_numpy(zero_copy_only=False).tolist())
+        known = np.frombuffer(b"".join(codes), "<u4")
+        sizes = np.array([len(c) for c in codes], "i8") // 4
+        word = own.indices.to_numpy()
+        ends = np.concatenate([np.zeros(1, "i8"), np.cumsum(sizes[word])])
+        from_ = (np.cumsum(sizes) - sizes)[word] - ends[:-1]
+        ids = known[np.repeat(from_, sizes[word]) + np.arange(ends[-1])]
+        borders = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        return ids, np.diff(ends[borders])
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts (third column) have AT_ONCE bytes or little more; a longer text is one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False), dtype="i8")
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 @lru_cache(2)
@@ -146,27 +169,28 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partition
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # a range of one doc_id (or of nulls) is split by a hash of the text, so that no id has to fit into one part
     rows = rows.withColumn("_t", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_t").sortWithinPartitions("doc_id", "_t", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, number, before = encoder(tokenizer), None, 0, 0
         ids: list[int | None] = []
         counts: list[int] = []
-        codes: list[bytes] = []
+        codes: list[np.ndarray] = []
         held = 0
 
         def segment() -> pa.RecordBatch:
-            payload = pack(np.frombuffer(b"".join(codes), "<u4"))
+            payload = pack(np.concatenate(codes))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())], names=["part", "segment", "in_part", "doc_ids", "counts", "payload"])
 
-        for batch in batches:
-            for p, doc_id, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                part = p.as_py()
-                code = own(text.as_py()) + end
-                ids.append(doc_id.as_py())
-                counts.append(len(code) // 4)
-                codes.append(code)
-                held += len(code) // 4
+        for batch in (piece for whole in batches for piece in pieces(whole)):
+            part = batch.column(0)[0].as_py()
+            found, sizes = own(batch.column(2))
+            ends = np.cumsum(sizes)
+            found = np.insert(found, ends, end_id)
+            for doc_id, size, stop in zip(batch.column(1).to_pylist(), (sizes + 1).tolist(), (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                ids.append(doc_id)
+                counts.append(size)
+                codes.append(found[stop - size : stop])
+                held += size
                 if held >= SEGMENT_IDS:
                     yield segment()
                     number, before, ids, counts, codes, held = number + 1, before + held, [], [], [], 0

@@ -52,6 +52,19 @@ def test_token_files(spark, odd_docs, library, tmp_path):
     assert {r["position"]: r["id"] for r in found} == {i: stream[i] for i in asked}
 
 
+def test_words_that_hold_the_mark(library):
+    """The mark between words may stand in them, and texts may be null, empty, or longer than what is worked on at once."""
+    import pyarrow as pa
+
+    texts = [None, "", f"a{tokens.MARK} {tokens.MARK} b<|endoftext|>{tokens.MARK}c", "plain words\n\nhere", f"{tokens.MARK}" * 700, "x1 " * (tokens.AT_ONCE // 3 + 9), " \n"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts))] * 2 + [pa.array(texts, pa.string())], names=["part", "doc_id", "text"])
+    got, own = [], tokens.Encoder(PATH)
+    for piece in tokens.pieces(batch):
+        ids, counts = own(piece.column(2))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_codes_reach_any_id():
     rng = np.random.default_rng(1)
     for ids in ([], [0], [255, 256, 65535, 65536, 2**32 - 1], rng.integers(0, 2**20, 3000).tolist()):
