@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): verified pairs of nodes, enough of them for the components of all that meet."""
+    """(a, b): links of nodes for the components of all verified pairs: each node with the smallest that such pairs reach, and the pairs found after."""
     balls = variants(nodes.where("some"))
     found = materialize(neighbours(balls), "met")
     meeting = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
@@ -216,8 +216,9 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = materialize(shingle_sets(texts.join(small(wanted), ["d", "t"], "left_semi")), "sets")
     close = found.join(prints(nodes, "a", "x"), "a").join(prints(nodes, "b", "y"), "b").where(apart("x", "y") <= FAR).select("a", "b")
     close = materialize(verified(close, sets), "near")
-    rest = materialize(remaining(balls, materialize(components(close), "roots"), materialize(briefs(sets, nodes), "briefs")), "rest")
-    return close.unionByName(verified(rest, sets))
+    roots = materialize(components(close), "roots")
+    rest = materialize(remaining(balls, roots, materialize(briefs(sets, nodes), "briefs")), "rest")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, sets))
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:

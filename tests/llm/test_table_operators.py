@@ -68,7 +68,9 @@ def test_one_source_takes_one_and_a_half_times(spark):
 def test_components(spark):
     rng = np.random.default_rng(7)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(5000, 5000 + k) for k in range(1, 90)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([*links, (3, 3)], "a long, b long")).collect()}
+    links += [(7000 + (k * 37) % 200, 7000 + ((k + 1) * 37) % 200) for k in range(190)]  # a long path in no order
+    df = spark.createDataFrame([*links, (3, 3), (None, 4), (4, None)], "a long, b long").repartition(7)
+    got = {r["node"]: r["root"] for r in components.components(df).collect()}
     root = {}
 
     def find(x):
