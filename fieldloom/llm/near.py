@@ -101,14 +101,14 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, own binary").dropDuplicates(["node"])
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """(key, node): the byte of each table and its eight neighbours, each with the table's anchor."""
+def variants(nodes: DataFrame, *more: str) -> DataFrame:
+    """(key, node): the byte of each table and its eight neighbours, each with the table's anchor; and more columns of nodes."""
     shift = lambda what, x, n: F.call_function(what, x, n)
-    tables = nodes.select("node", "f0", F.posexplode(F.array(*SKETCH[:TABLES])).alias("_t", "_a"))
+    tables = nodes.select("node", *more, "f0", F.posexplode(F.array(*SKETCH[:TABLES])).alias("_t", "_a"))
     byte = shift("shiftrightunsigned", F.col("f0"), (F.col("_t") * 8).cast("int")).bitwiseAND(F.lit(255).cast("long"))
-    balls = tables.select("node", "_t", "_a", byte.alias("_f"), F.explode(F.sequence(F.lit(-1), F.lit(7))).alias("_i"))
+    balls = tables.select("node", *more, "_t", "_a", byte.alias("_f"), F.explode(F.sequence(F.lit(-1), F.lit(7))).alias("_i"))
     bit = F.when(F.col("_i") < 0, F.lit(0).cast("long")).otherwise(shift("shiftleft", F.lit(1).cast("long"), F.greatest("_i", F.lit(0))))
-    return balls.select(F.xxhash64("_t", "_a", F.col("_f").bitwiseXOR(bit)).alias("key"), "node")
+    return balls.select(F.xxhash64("_t", "_a", F.col("_f").bitwiseXOR(bit)).alias("key"), "node", *more)
 
 
 def apart(a: str, b: str) -> Column:
@@ -171,14 +171,15 @@ def joined(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def remaining(balls: DataFrame, roots: DataFrame, short: DataFrame) -> DataFrame:
+def remaining(nodes: DataFrame, roots: DataFrame, short: DataFrame) -> DataFrame:
     """(a, b): pairs that join components of those who meet at a key of more than WIDTH + 1 nodes, by comparing all that are in several components.
 
     At each key the nodes outside of its largest component are compared with all. Both sides are dealt to blocks of BLOCK nodes.
     """
-    large = materialize(balls.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDTH + 1), "large")
-    members = balls.join(large.select("key"), "key").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    members = materialize(members, "members")
+    balls = variants(nodes.where("some").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "root")
+    # the rows of keys that are in one component by now, as those of most large groups are, are counted and move no further
+    large = balls.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where((F.col("n") > WIDTH + 1) & (F.col("_lo") < F.col("_hi")))
+    members = materialize(balls.join(materialize(large.select("key"), "large"), "key").select("key", "node", "root"), "members")
     by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     several = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("_main"), F.sum("c").alias("_n"), (F.sum("c") - F.max("c")).alias("_o")).where("_o > 0")
     several = materialize(several.select("key", "_main", F.ceil(F.col("_o") / BLOCK).alias("_i"), F.ceil(F.col("_n") / BLOCK).alias("_j")), "several")
@@ -217,7 +218,7 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     close = found.join(prints(nodes, "a", "x"), "a").join(prints(nodes, "b", "y"), "b").where(apart("x", "y") <= FAR).select("a", "b")
     close = materialize(verified(close, sets), "near")
     roots = materialize(components(close), "roots")
-    rest = materialize(remaining(balls, roots, materialize(briefs(sets, nodes), "briefs")), "rest")
+    rest = materialize(remaining(nodes, roots, materialize(briefs(sets, nodes), "briefs")), "rest")
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest, sets))
 
 
