@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, embed, lines, mixing, pii, quality, rules, simhash, suffix, tokens
+from fieldloom.llm import automata, bpe, divergence, embed, lines, mixing, pii, quality, rules, simhash, suffix, tokens, whitening
 from fieldloom.llm.shared import documents
 
 
@@ -70,6 +70,21 @@ def op10_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(feats, model)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight leading whitened components of every vector."""
+    return whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's terms differ from the other sources' and from its language's."""
+    return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
+def op13_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to word runs of documents before it."""
+    return automata.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_codes": op1_token_codes,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_qda": op10_quality_qda,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_automaton_dedup": op13_automaton_dedup,
 }
 
 
@@ -103,5 +121,35 @@ f AS (SELECT *, concat_ws(',', {names(rules.BASE)}) AS b, concat_ws(',', {names(
 SELECT * EXCLUDE (b), b <> '' AS base_failed, failed = '' AS kept FROM f"""
 
 
+def divergence_sql() -> str:
+    """op12 in DuckDB's SQL."""
+    share = "1 + (1000000000::HUGEINT * (n + 2)) // total"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+o AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT k) >= 10), size AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+every AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, {share} AS p FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source) + 2 * v AS total FROM every JOIN size USING (lang))),
+q AS (SELECT lang, term, {share} AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) + 2 * v AS total FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN size USING (lang))),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms QUALIFY rank <= 10)"""
+
+
+def windows_sql() -> str:
+    """op13 in DuckDB's SQL."""
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) > 12)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM g JOIN f USING (g) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS x, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 #: The other operators rest on a tokenizer, XXH64, trees or iteration, which this SQL lacks; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op9_quality_rules": rules_sql()}
+ORACLES: dict[str, str] = {"op9_quality_rules": rules_sql(), "op12_source_divergence": divergence_sql(), "op13_automaton_dedup": windows_sql()}
