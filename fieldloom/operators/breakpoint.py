@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.ranks import exact_quantiles
+
 MIN_N, MIN_EVENTS, N_THETA, CLIP, RIDGE = 200, 30, 25, 1e-7, 1e-6
 FIT = "zone string, theta double, a1 double, b1 double, a2 double, b2 double, nll double, n long, events long"
 
@@ -22,10 +24,9 @@ def zone_guard(rows: DataFrame, min_n: int = MIN_N, min_events: int = MIN_EVENTS
     return sums.withColumn("enough", (F.col("n") >= min_n) & (F.col("events") >= min_events))
 
 
-def theta_range(rows: DataFrame) -> DataFrame:
-    """(zone, p10, p90) of x."""
-    ends = F.percentile("x", F.array(F.lit(0.1), F.lit(0.9)))
-    return rows.groupBy("zone").agg(ends.alias("_p")).select("zone", F.col("_p")[0].alias("p10"), F.col("_p")[1].alias("p90"))
+def theta_range(rows: DataFrame, **how) -> DataFrame:
+    """(zone, p10, p90) of x, exact; no task holds a zone."""
+    return exact_quantiles(rows, ["zone"], "x", [0.1, 0.9], "_p", **how).select("zone", F.col("_p")[0].alias("p10"), F.col("_p")[1].alias("p90"))
 
 
 def nll(a: float, b: float, x: np.ndarray, n: np.ndarray, k: np.ndarray) -> float:

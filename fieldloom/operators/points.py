@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.ranks import draw, exact_quantiles, same, smallest
+from fieldloom.sources.scratch import few, stored
+
 
 def rasterize_count(snapped: DataFrame) -> DataFrame:
     """(cell_id, n_points, log_points) of the cells with points; every point in bounds counts."""
@@ -49,51 +52,26 @@ def label_cells(cells: DataFrame, counts: DataFrame) -> DataFrame:
     return cells.join(counts.select("cell_id", "n_points"), "cell_id", "left").withColumn("y", F.when(F.col("n_points") > 0, 1).otherwise(0)).drop("n_points")
 
 
-def draw(key: list[str], seed: int) -> Column:
-    """A repeatable random order: md5 of the key and the seed."""
-    return F.md5(F.concat_ws("-", *key, F.lit(seed)).cast("binary"))
-
-
-def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42, slack: float = 1.2) -> DataFrame:
-    """n rows (all if there are fewer), without replacement: those whose key has the smallest hash, so reruns agree.
+def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42, **how) -> DataFrame:
+    """n rows (all if there are fewer), without replacement: those whose key has the smallest hash, so reruns agree. No sort of all rows, no task with n of them."""
+    return smallest(df.withColumn("_h", draw(key, seed)), [], "_h", key, n, **how).drop("_h")
 
-    Rows are cut by a bound on the hash that leaves a little over n before anything is sorted, and again with a wider one should that be too few.
-    """
-    total = df.count()
-    rows = df.withColumn("_h", draw(key, seed))
-    share = min(1.0, (n * slack + 100) / max(total, 1))
-    while share < 1.0:
-        bound = f"{int(share * 16**8):08x}"
-        if rows.where(F.col("_h") < bound).count() >= n:
-            rows = rows.where(F.col("_h") < bound)
-            break
-        share = min(1.0, share * 2)
-    return rows.orderBy("_h", *key).limit(n).drop("_h")
 
-
-def case_control_sample(df: DataFrame, by: list[str], key: list[str], per_class: int, seed: int = 42, y: str = "y") -> DataFrame:
-    """Up to per_class rows of each class of each group, by smallest hash; classes well over per_class are cut by the hash before they are ranked."""
-    sizes = df.groupBy(*by, y).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.least(F.lit(1.0), (F.lit(per_class) * 1.2 + 5 * F.sqrt(F.lit(float(per_class))) + 100) / F.col("_n"))
-    rows = df.withColumn("_h", draw([*by, *key], seed)).join(sizes, [*by, y])
-    cut = rows.where(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") <= share * float(16**8))
-    order = Window.partitionBy(*by, y).orderBy("_h", *key)
-    return cut.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_h", "_n", "_r")
+def case_control_sample(df: DataFrame, by: list[str], key: list[str], per_class: int, seed: int = 42, y: str = "y", **how) -> DataFrame:
+    """Up to per_class rows of each class of each group, by smallest hash."""
+    return smallest(df.withColumn("_h", draw([*by, *key], seed)), [*by, y], "_h", key, per_class, **how).drop("_h")
 
 
 def labelled(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return positives.withColumn("y", F.lit(1)).unionByName(negatives.withColumn("y", F.lit(0)))
 
 
-def quantile_bins(df: DataFrame, by: list[str], x: str = "x", n: int = 10) -> DataFrame:
-    """df with bin: the number of inner edges at or below x. Edges are exact quantiles of the group, linear between values, equal ones taken once.
-
-    percentile keeps a count for each distinct value of a group; round x first where those run to many millions.
-    """
-    qs = F.array(*[F.lit(k / n) for k in range(n + 1)])
-    edges = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile(x, qs))).alias("_e"))
+def quantile_bins(df: DataFrame, by: list[str], x: str = "x", n: int = 10, **how) -> DataFrame:
+    """df with bin: the number of inner edges at or below x. Edges are exact quantiles of the group, linear between values, equal ones taken once. Groups without values go."""
+    edges = exact_quantiles(df, by, x, [k / n for k in range(n + 1)], "_q", **how).withColumn("_e", F.array_sort(F.array_distinct("_q"))).drop("_q")
     inner = F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0)))
-    return df.join(edges, by).withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(x)))).drop("_e")
+    joined = df.alias("d").join(few(stored(edges, "edges")).alias("e"), same("d", "e", by)).select("d.*", "e._e")
+    return joined.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col(x)))).drop("_e")
 
 
 def mutual_information(binned: DataFrame, by: list[str], least: int = 50) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.grid import GridSpec, all_cells, decimate, upscale
 from fieldloom.operators import breakpoint, kendall, points, spatial, temporal
+from fieldloom.operators.ranks import draw, smallest
 from fieldloom.sources.scratch import stored
 
 FEATURES = ("f1_mean", "f2_clim_june", "f3_anomaly_mean", "f4_trend_mean", "f5_residual_mean", "f6_mk_tau", "f7_cvsi_mean", "f8_lisa", "f9_below", "f10_points")
@@ -57,19 +58,16 @@ def feature_summary(table: DataFrame) -> DataFrame:
 def lag_scores(index: DataFrame, dated: DataFrame, burned: DataFrame, ks: range = range(1, 7), bins: int = 10, seed: int = 42, least: int = 50) -> DataFrame:
     """(k, mi, n_pos, n_neg): mutual information of each lag's index with having points, against an equal number of cell-months without.
 
-    Cell-months are marked and hashed once for all lags; those that no lag can draw go before lags become rows.
+    Cell-months are marked and hashed once for all lags. The sample of a lag is what has the smallest hashes, found by counts of hashes; no task has a class or a lag as a whole.
     """
     n = dated.groupBy("cell_id", "t").agg(F.count(F.lit(1)).cast("int").alias("_n"))
     hit = burned.select("cell_id").distinct().withColumn("_hit", F.lit(True))
     marked = index.join(n, ["cell_id", "t"], "left").join(hit, "cell_id", "left").where("_n IS NOT NULL OR _hit IS NULL")
-    marked = stored(marked.select("cell_id", "t", "_n", *[F.when(F.col("t") >= k, F.col(f"cvsi_{k}")).alias(f"cvsi_{k}") for k in ks], points.draw(["cell_id", "t"], seed).alias("_h")), "marked")
-    counts = marked.agg(*[F.struct(F.coalesce(F.sum(F.when(F.col(f"cvsi_{k}").isNotNull(), F.col("_n"))), F.lit(0)).alias("pos"), F.count(F.when(F.col("_n").isNull(), F.col(f"cvsi_{k}"))).alias("neg")).alias(f"_c{k}") for k in ks])
-    share = {k: F.least(F.lit(1.0), (F.col(f"_c{k}.pos") * 1.2 + 5 * F.sqrt(F.col(f"_c{k}.pos").cast("double")) + 100) / F.nullif(F.col(f"_c{k}.neg"), F.lit(0))) for k in ks}
-    at = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
-    rows = marked.crossJoin(F.broadcast(counts)).withColumn("_at", at).where(F.col("_n").isNotNull() | (F.col("_at") <= F.greatest(*share.values())))  # one row of counts
-    lags = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"cvsi_{k}").alias("x"), F.col(f"_c{k}.pos").alias("_pos"), share[k].alias("_share")) for k in ks])
-    long = rows.select("cell_id", "t", "_n", "_h", "_at", F.inline(lags)).where("x IS NOT NULL AND (_n IS NOT NULL OR _at <= _share)")
-    rank = F.row_number().over(Window.partitionBy("k", "_y").orderBy("_h", "cell_id", "t"))
-    drawn = long.withColumn("_y", F.col("_n").isNotNull().cast("int")).withColumn("_r", rank).where("_y = 1 OR _r <= _pos")
-    balanced = drawn.withColumn("_i", F.explode(F.sequence(F.lit(1), F.coalesce("_n", F.lit(1))))).select("k", F.col("_y").alias("y"), "x")
+    marked = stored(marked.select("cell_id", "t", "_n", *[F.when(F.col("t") >= k, F.col(f"cvsi_{k}")).alias(f"cvsi_{k}") for k in ks], draw(["cell_id", "t"], seed).alias("_h")), "marked")
+    lags = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"cvsi_{k}").alias("x")) for k in ks])
+    long = marked.select("cell_id", "t", "_n", "_h", F.inline(lags)).where("x IS NOT NULL")
+    positives, negatives = long.where("_n IS NOT NULL"), long.where("_n IS NULL")
+    drawn = smallest(negatives, ["k"], "_h", ["cell_id", "t"], positives.groupBy("k").agg(F.sum("_n").alias("n")))
+    repeated = positives.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    balanced = repeated.select("k", F.lit(1).alias("y"), "x").unionByName(drawn.select("k", F.lit(0).alias("y"), "x"))
     return points.mutual_information(points.quantile_bins(stored(balanced, "balanced"), ["k"], "x", bins), ["k"], least)

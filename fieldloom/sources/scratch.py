@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that are broadcast at most (some 30 MB).
+FEW = 1 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +28,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, to be broadcast if a count shows it to be small; else Spark joins it by a shuffle, whose skewed parts it can split."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
