@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -189,56 +190,60 @@ class Automaton:
     """The suffix automaton of several word sequences; `first` of a state is the smallest document of what it stands for."""
 
     def __init__(self, sequences: list[list[int]], docs: list[int], n_words: int):
+        most = 2 * sum(map(len, sequences)) + 1  # states, at most
         steps: list[dict[int, int]] = [{}]
-        link, size, first = [-1], [0], [NEVER]
+        link, size, first = [0] * most, [0] * most, [NEVER] * most
+        link[0] = -1
 
         def clone(p: int, c: int, q: int) -> int:
             """A state for what leads from p by c to q and is shorter than q's longest."""
-            new = len(link)
+            new = len(steps)
             steps.append(dict(steps[q]))
-            size.append(size[p] + 1)
-            first.append(NEVER)
-            link.append(link[q])
-            link[q] = new
+            size[new], link[new], link[q] = size[p] + 1, link[q], new
             while p >= 0 and steps[p].get(c) == q:
                 steps[p][c] = new
                 p = link[p]
             return new
 
         for sequence, doc in zip(sequences, docs, strict=True):
-            last = 0
+            last, here = 0, steps[0]
             for c in sequence:
-                p, q = last, steps[last].get(c)
+                q = here.get(c)
                 if q is not None:
-                    last = q if size[q] == size[p] + 1 else clone(p, c, q)
-                else:
-                    last = len(link)
-                    steps.append({})
-                    size.append(size[p] + 1)
-                    first.append(NEVER)
-                    link.append(0)
-                    while p >= 0 and c not in steps[p]:
-                        steps[p][c] = last
-                        p = link[p]
-                    if p >= 0:
-                        q = steps[p][c]
-                        link[last] = q if size[q] == size[p] + 1 else clone(p, c, q)
-                if doc < first[last]:
-                    first[last] = doc
-        order = np.argsort(np.array(size), kind="stable").tolist()
-        for s in reversed(order[1:]):
-            if first[s] < first[link[s]]:
-                first[link[s]] = first[s]
+                    last = q if size[q] == size[last] + 1 else clone(last, c, q)
+                    here = steps[last]
+                    if doc < first[last]:
+                        first[last] = doc
+                    continue
+                new = here[c] = len(steps)
+                here = {}
+                steps.append(here)
+                size[new], first[new] = size[last] + 1, doc
+                p = link[last]
+                while p >= 0:
+                    q = steps[p].get(c)
+                    if q is not None:
+                        link[new] = q if size[q] == size[p] + 1 else clone(p, c, q)
+                        break
+                    steps[p][c] = new
+                    p = link[p]
+                last = new
+        n = len(steps)
+        self.link, self.size = np.array(link[:n]), np.array(size[:n])
+        documents, self.earliest = np.array(first[:n]), np.full(n, NEVER)
+        by_size = np.argsort(self.size, kind="stable")
+        levels = np.split(by_size, np.flatnonzero(np.diff(self.size[by_size])) + 1)[1:]  # the root is alone at size 0
+        for states in reversed(levels):  # what a state stands for ends wherever longer ones of its suffix do
+            np.minimum.at(documents, self.link[states], documents[states])
         #: For matches of LENGTH words or more that end in a state: the first document with the last LENGTH words of them.
-        earliest = [NEVER] * len(link)
-        for s in order[1:]:
-            if size[s] >= LENGTH:
-                earliest[s] = first[s] if size[link[s]] < LENGTH else earliest[link[s]]
-        self.link, self.size, self.earliest = np.array(link), np.array(size), np.array(earliest)
+        for states in levels:
+            states = states[self.size[states] >= LENGTH]
+            shorter = self.link[states]
+            self.earliest[states] = np.where(self.size[shorter] < LENGTH, documents[states], self.earliest[shorter])
         self.n_words = max(n_words, 1)
-        counts = [len(s) for s in steps]
-        keys = np.repeat(np.arange(len(steps)) * self.n_words, counts) + np.fromiter((c for s in steps for c in s), "i8", sum(counts))
-        to = np.fromiter((q for s in steps for q in s.values()), "i8", sum(counts))
+        counts = np.fromiter(map(len, steps), "i8", n)
+        keys = np.repeat(np.arange(n) * self.n_words, counts) + np.fromiter(chain.from_iterable(steps), "i8", counts.sum())
+        to = np.fromiter(chain.from_iterable(map(dict.values, steps)), "i8", counts.sum())
         order = np.argsort(keys)
         self.keys, self.to = keys[order], to[order]
 
