@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.runs import byte_class, runs, slices
-from fieldloom.llm.shared import materialize, text_or_empty
+from fieldloom.llm.shared import materialize, small, text_or_empty
 
 LEAST_DOCS, SMOOTH, UNIT, TOP = 10, 2, 1_000_000_000, 10
 #: Terms of one transducer, about (some 20 bytes each), and of all that are sent together; terms of a block.
@@ -247,9 +247,10 @@ def audit(docs: DataFrame, least: int = LEAST_DOCS, terms: int = TERMS, held: in
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("_n"))
     with_total = lambda df: df.withColumn("total", F.coalesce("_n", F.lit(0)) + 2 * F.coalesce("_v", F.lit(0))).drop("_n", "_v")
     groups = with_total(texts.select("lang", "source").distinct().join(total(counts, "lang", "source"), ["lang", "source"], "left").join(size, "lang", "left"))
-    groups = materialize(groups, "groups")
+    groups = small(materialize(groups, "groups"))  # as a join by language or source would bring a common one into one task
     whole = materialize(counts.groupBy("lang", "id").agg(F.sum("n").alias("_n_lang")), "whole")
     langs = with_total(total(whole.withColumnRenamed("_n_lang", "n"), "lang").join(size, "lang")).withColumnRenamed("total", "_total_lang")
+    langs = small(materialize(langs, "langs"))
 
     blocks = counts.withColumn("_block", F.floor(F.col("id") / block))
     sent = blocks.select("lang", "_block").distinct().join(groups, "lang").withColumnsRenamed({"lang": "_lang", "_block": "_sent"})
