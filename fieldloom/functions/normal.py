@@ -1,18 +1,34 @@
-"""Tails of the normal distribution, which Spark has no function for."""
+"""Tails of the normal distribution, which Spark has no function for, as column expressions and as the same expressions in SQL."""
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: |z| at which a two-sided p is 0.05.
 Z_05 = 1.959963984540054
+#: A published rational approximation of the upper tail (Hart 1968, in West's form of 2005), highest power first, and beyond BREAK the numbers of a
+#: continued fraction. Against math.erfc the error of p is under 1e-15, and under 1e-8 of p itself.
+ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+BREAK, FRACTION, ROOT_2PI, FAR = 7.07106781186547, (0.65, 4, 3, 2, 1), 2.506628274631, 37.0
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """P(|Z| >= |z|); null for null."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+def two_sided_p(z: Column) -> Column:
+    """P(|Z| >= |z|); null for null, 0 beyond FAR."""
+    x = F.abs(z)
+    polynomial = lambda cs: reduce(lambda y, c: y * x + F.lit(c), cs[1:], F.lit(cs[0]))
+    fraction = reduce(lambda y, c: x + F.lit(float(c)) / y, FRACTION[1:], x + F.lit(FRACTION[0]))
+    bell = F.exp(-x * x / 2)
+    return F.when(x > FAR, F.lit(0.0)).when(x < BREAK, 2 * bell * polynomial(ABOVE) / polynomial(BELOW)).when(x.isNotNull(), 2 * bell / fraction / F.lit(ROOT_2PI))
+
+
+def two_sided_sql(z: str) -> str:
+    """two_sided_p as SQL of the column z."""
+    x, number = f"abs({z})", lambda c: f"{float(c)!r}::DOUBLE"
+    polynomial = lambda cs: reduce(lambda y, c: f"({y} * {x} + {number(c)})", cs[1:], number(cs[0]))
+    fraction = reduce(lambda y, c: f"({x} + {number(c)} / {y})", FRACTION[1:], f"({x} + {number(FRACTION[0])})")
+    bell = f"exp(-{x} * {x} / 2)"
+    return f"CASE WHEN {x} > {FAR} THEN 0::DOUBLE WHEN {x} < {number(BREAK)} THEN 2 * {bell} * {polynomial(ABOVE)} / {polynomial(BELOW)} WHEN {z} IS NOT NULL THEN 2 * {bell} / {fraction} / {number(ROOT_2PI)} END"

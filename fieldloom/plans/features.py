@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.grid import GridSpec, all_cells, decimate, upscale
 from fieldloom.operators import breakpoint, kendall, points, spatial, temporal
 from fieldloom.operators.ranks import draw, smallest
+from fieldloom.sources import layout
 from fieldloom.sources.scratch import stored
 
 FEATURES = ("f1_mean", "f2_clim_june", "f3_anomaly_mean", "f4_trend_mean", "f5_residual_mean", "f6_mk_tau", "f7_cvsi_mean", "f8_lisa", "f9_below", "f10_points")
@@ -20,12 +21,14 @@ def dense_frame(cube: DataFrame, spine: DataFrame, base: tuple[int, int], last_t
 
 
 def temporal_features(frame: DataFrame, k: int) -> DataFrame:
-    """F1 to F7 but tau, in one aggregation over the frame's partitioning."""
+    """F1 to F7, in one aggregation over the frame's partitioning; the trend's values go to the trend test as one list for each cell."""
     stress = temporal.cvsi_columns(range(k, k + 1))[f"cvsi_{k}"]
-    return frame.withColumn("_s", stress).groupBy("cell_id").agg(
+    out = frame.withColumn("_s", stress).groupBy("cell_id").agg(
         F.avg("v").alias("f1_mean"), F.max(F.when(F.col("month") == 6, F.col("clim"))).alias("f2_clim_june"), F.avg("delta").alias("f3_anomaly_mean"),
-        F.avg("trend").alias("f4_trend_mean"), F.avg("resid").alias("f5_residual_mean"), F.avg("_s").alias("f7_cvsi_mean"),
+        F.avg("trend").alias("f4_trend_mean"), F.avg("resid").alias("f5_residual_mean"), kendall.in_order("trend").alias("_x"), F.avg("_s").alias("f7_cvsi_mean"),
     )
+    tested = out.withColumn("_c", kendall.counted("_x")).withColumn("f6_mk_tau", kendall.statistics(F.col("_c"))["tau"])
+    return tested.select("cell_id", *FEATURES[:7])
 
 
 def coarse_classes(means: DataFrame, grid: GridSpec, stride: int, **how) -> DataFrame:
@@ -36,14 +39,12 @@ def coarse_classes(means: DataFrame, grid: GridSpec, stride: int, **how) -> Data
 
 
 def features(cube: DataFrame, snapped: DataFrame, spine: DataFrame, grid: GridSpec, base: tuple[int, int], k: int, theta: float, stride: int = 8, **how) -> DataFrame:
-    """cell_id, row, col and the ten features of every cell of the grid."""
+    """cell_id, row, col and the ten features of every cell of the grid. The cube moves once, into blocks of cells; F1 to F7 come from one pass over these."""
     last_t = spine.agg(F.max("t")).first()[0]  # one number, from one row for each month
-    cube = stored(cube, "cube")
-    frame = dense_frame(cube, spine, base, last_t)
-    timed = stored(temporal_features(frame, k), "timed")
-    tau = kendall.mann_kendall(frame.select("cell_id", "t", "trend")).select("cell_id", F.col("tau").alias("f6_mk_tau"))
+    laid = layout.by_cell(cube, layout.blocks(cube.sparkSession, grid.height * grid.width, last_t + 1))
+    timed = stored(temporal_features(dense_frame(laid, spine, base, last_t), k), "timed")
     cells = all_cells(cube.sparkSession, grid)
-    wide = cells.join(timed, "cell_id", "left").join(tau, "cell_id", "left").join(points.rasterize_count(snapped).select("cell_id", F.col("n_points").alias("f10_points")), "cell_id", "left")
+    wide = cells.join(timed, "cell_id", "left").join(points.rasterize_count(snapped).select("cell_id", F.col("n_points").alias("f10_points")), "cell_id", "left")
     coarse = coarse_classes(timed, grid, stride, **how).select("row", "col", F.col("cls").alias("f8_lisa"))
     out = breakpoint.below_threshold(upscale(coarse, wide, grid, stride), theta).withColumn("f10_points", F.coalesce("f10_points", F.lit(0)))
     return out.select("cell_id", "row", "col", *FEATURES)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.normal import two_sided_sql
 from fieldloom.grid import all_cells, assign_zones, cell_centres, decimate, snap_points, upscale
 from fieldloom.operators import breakpoint, kendall, points, quality, spatial, temporal
 from fieldloom.plans import features as plan
@@ -72,7 +73,7 @@ def q(columns: str, source: str, with_: str = RAW) -> str:
 
 
 def r(*names: str) -> str:
-    return ", ".join(f"round({n.rpartition(' AS ')[0] or n}, 9) + 0.0 AS {n.rpartition(' AS ')[2]}" for n in names)
+    return ", ".join(f"round(round({n.rpartition(' AS ')[0] or n}, 12), 9) + 0.0 AS {n.rpartition(' AS ')[2]}" for n in names)
 
 
 # sources
@@ -99,10 +100,11 @@ def filter_period(spark, d):
     return granules.filter_period(T.cube(spark, d), (1997, 3), (1999, 10)).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {SPINE}, seen AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month FROM lineitem WHERE l_quantity < 50 AND month(l_shipdate) % 5 <> 0) SELECT year, month FROM spine ANTI JOIN seen USING (year, month)")
+@query(f"WITH {SPINE}, seen AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month FROM lineitem), long AS (SELECT CAST(1990 + i // 12 AS INTEGER) AS year, CAST(i % 12 + 1 AS INTEGER) AS month FROM range(180) r(i)) SELECT year, month FROM long ANTI JOIN seen USING (year, month)")
 def missing_months(spark, d):
-    line = spark.read.parquet(f"{d}/lineitem.parquet").where("l_quantity < 50").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
-    return granules.missing_months(line.where("month % 5 <> 0"), T.START, T.END)
+    """Months of a period that begins before the data and ends after it."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"))
+    return granules.missing_months(line, (1990, 1), (2004, 12))
 
 
 # masks
@@ -255,17 +257,18 @@ sizes AS (SELECT cell_id, CAST(count(*) AS INTEGER) AS n FROM smooth GROUP BY 1)
 tests AS (SELECT cell_id, n, coalesce(s, 0) AS s, CASE WHEN n >= 10 THEN s / (n * (n - 1) / 2.0) END AS tau, CASE WHEN n >= 10 THEN (s - sign(s)) / sqrt(n * (n - 1) * (2 * n + 5) / 18.0) END AS z FROM sizes LEFT JOIN pairs USING (cell_id))"""
 
 
-@query(q("cell_id, n, s, " + r("tau", "z"), "tests", KENDALL))
+@query(q("cell_id, n, s, " + r("tau", "z", f"{two_sided_sql('z')} AS p"), "tests", KENDALL))
 def mann_kendall(spark, d):
-    return rounded(kendall.mann_kendall(frame(spark, d).select("cell_id", "t", "trend")).select("cell_id", "n", "s", "tau", "z"))
+    return rounded(kendall.mann_kendall(frame(spark, d).select("cell_id", "t", "trend")))
 
 
 @query(f"""WITH {RAW}, x AS (SELECT cell_id, t, round(v, 9) AS x FROM cube), pairs AS (SELECT a.cell_id, CAST(sum(sign(b.x - a.x)) AS BIGINT) AS s FROM x a JOIN x b ON a.cell_id = b.cell_id AND a.t < b.t GROUP BY 1),
-ties AS (SELECT cell_id, CAST(sum(c) AS DOUBLE) AS n, sum(c * (c - 1) / 2.0) AS same, sum(c * (c - 1) * (2.0 * c + 5)) AS v FROM (SELECT cell_id, x, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY ALL) GROUP BY 1)
-SELECT cell_id, CAST(n AS INTEGER) AS n, coalesce(s, 0) AS s, round(CASE WHEN n >= 10 AND n * (n - 1) / 2 > same THEN s / sqrt(n * (n - 1) / 2 * (n * (n - 1) / 2 - same)) END, 9) + 0.0 AS tau,
-  round(CASE WHEN n >= 10 AND n * (n - 1) / 2 > same THEN s / sqrt((n * (n - 1) * (2 * n + 5) - v) / 18) END, 9) + 0.0 AS z FROM ties LEFT JOIN pairs USING (cell_id)""")
+ties AS (SELECT cell_id, CAST(sum(c) AS DOUBLE) AS n, sum(c * (c - 1) / 2.0) AS same, sum(c * (c - 1) * (2.0 * c + 5)) AS v FROM (SELECT cell_id, x, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY ALL) GROUP BY 1),
+tested AS (SELECT cell_id, CAST(n AS INTEGER) AS n, coalesce(s, 0) AS s, CASE WHEN n >= 10 AND n * (n - 1) / 2 > same THEN s / sqrt(n * (n - 1) / 2 * (n * (n - 1) / 2 - same)) END AS tau,
+  CASE WHEN n >= 10 AND n * (n - 1) / 2 > same THEN s / sqrt((n * (n - 1) * (2 * n + 5) - v) / 18) END AS z FROM ties LEFT JOIN pairs USING (cell_id))
+SELECT cell_id, n, s, {r("tau", "z", f"{two_sided_sql('z')} AS p")} FROM tested""")
 def kendall_tau_b(spark, d):
-    return rounded(kendall.mann_kendall(T.cube(spark, d), "v", ties=True).drop("p"))
+    return rounded(kendall.mann_kendall(T.cube(spark, d), "v", ties=True))
 
 
 @query(q("CASE WHEN abs(z) > 1.959963984540054 AND tau < 0 THEN 'browning' WHEN abs(z) > 1.959963984540054 AND tau > 0 THEN 'greening' ELSE 'none' END AS class, count(*) AS n", "tests GROUP BY 1", KENDALL))
@@ -390,9 +393,9 @@ s AS (SELECT (SELECT count(*) FROM lagged) AS n, (SELECT sum(z * lag) / sum(z *
 m AS (SELECT n, n / s0 * ratio AS i, -1.0 / (n - 1) AS expected, (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n - 1.0) * (n + 1) * s0 * s0) - 1.0 / (n - 1) / (n - 1) AS variance FROM s)"""
 
 
-@query(q("n, " + r("i", "expected", "variance", "(i - expected) / sqrt(variance) AS z"), "m", MORAN))
+@query(q("n, " + r("i", "expected", "variance", "(i - expected) / sqrt(variance) AS z", f"{two_sided_sql('((i - expected) / sqrt(variance))')} AS p"), "m", MORAN))
 def morans_i(spark, d):
-    return rounded(spatial.morans_i(coarse(spark, d)).drop("p"))
+    return rounded(spatial.morans_i(coarse(spark, d)))
 
 
 @query(q('"row", col, ' + r("z * lag AS local_i") + ", CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN NOT z > 0 AND lag > 0 THEN 2 WHEN NOT z > 0 AND NOT lag > 0 THEN 3 WHEN z > 0 AND NOT lag > 0 THEN 4 END AS quadrant, " + r("CASE WHEN n_neighbours > 0 THEN (lag + z / (cnt - 1)) / sqrt(((cnt - z * z) / (cnt - 1) - z * z / ((cnt - 1) * (cnt - 1))) / n_neighbours * (cnt - 1 - n_neighbours) / (cnt - 2)) END AS z_i"), "lagged, (SELECT CAST(count(*) AS DOUBLE) AS cnt FROM lagged)", LATTICE))

@@ -63,5 +63,5 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles to so many digits and without negative zeros: sums come in another order in another engine."""
-    return reduce(lambda d, c: d.withColumn(c, F.round(c, digits) + F.lit(0.0)), [c for c, kind in df.dtypes if kind == "double"], df)
+    """Doubles to so many digits and without negative zeros: sums come in another order in another engine. Rounded to more digits first, so that values just beside a half fall to one side."""
+    return reduce(lambda d, c: d.withColumn(c, F.round(F.round(c, digits + 3), digits) + F.lit(0.0)), [c for c, kind in df.dtypes if kind == "double"], df)

@@ -174,6 +174,88 @@ def test_planted_break(spark):
     assert [r["f9_below"] for r in below] == [1.0, 0.0, 0.0]
 
 
+def exchanges(df):
+    """Exchanges of the plan by kind, as it is before it runs."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return text, text.count("Exchange hashpartitioning")
+
+
+def test_features_move_the_cube_once(spark):
+    """On the real tables: the cube's blocks are read without an exchange, and all per-cell features, the trend test too, come from one scan of them."""
+    from fieldloom.plans import features as plan
+    from fieldloom.plans import tables
+    from fieldloom.sources import layout
+
+    small = "/root/testdata/sf0.001"
+    laid = layout.by_cell(tables.cube(spark, small), 6)
+    text, n = exchanges(plan.temporal_features(plan.dense_frame(laid, tables.spine(spark), tables.BASE, tables.MONTHS - 1), 6))
+    assert n == 0 and text.count("FileScan") == 1 and "Bucketed: true" in text and text.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, laid.collect())) == sorted(map(tuple, tables.cube(spark, small).collect()))
+    plain = plan.dense_frame(tables.cube(spark, small), tables.spine(spark), tables.BASE, tables.MONTHS - 1)
+    tau = {r["cell_id"]: r["tau"] for r in kendall.mann_kendall(plain.select("cell_id", "t", "trend")).collect()}
+    assert {r["cell_id"]: r["f6_mk_tau"] for r in plan.temporal_features(plan.dense_frame(laid, tables.spine(spark), tables.BASE, tables.MONTHS - 1), 6).collect()} == tau
+
+
+def test_blocks_follow_the_values(spark):
+    from fieldloom.sources import layout
+
+    assert layout.blocks(spark, 10, 10) == spark.sparkContext.defaultParallelism
+    assert layout.blocks(spark, 12_758_064, 266) == -(-12_758_064 * 266 // layout.BLOCK_ROWS)
+
+
+@pytest.mark.parametrize("months", [1, 2, 9, 16, 17, 40, 65])
+def test_pairs_by_merging(months):
+    rng = np.random.default_rng(months)
+    x = np.concatenate([rng.integers(0, 5, (60, months)).astype(float), rng.normal(size=(60, months))])
+    x[:9, 0] = np.inf
+    n = rng.integers(0, months + 1, 120)
+    s, same, spread = kendall.pair_counts(x, n)
+    for k, own in enumerate(x[j, : n[j]] for j in range(120)):
+        t = np.unique(own, return_counts=True)[1]
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        assert (s[k], same[k], spread[k]) == (sum(int(b > a) - int(b < a) for a, b in pairs), sum(bool(a == b) for a, b in pairs), (t * (t - 1) * (2 * t + 5)).sum())
+
+
+def test_kendall_statistics(spark):
+    """Gaps, ties, NaN and short series against the definitions."""
+    rng = np.random.default_rng(4)
+    series = {k: [None if rng.random() < 0.2 else float(rng.integers(0, 6)) for _ in range(30)] for k in range(20)} | {50: [1.0] * 12, 51: [float(t) for t in range(9)], 52: [float("nan"), *range(10)]}
+    for ties in (False, True):
+        got = {r["cell_id"]: r for r in kendall.mann_kendall(cube(spark, series), "v", ties=ties).collect()}
+        assert got.keys() == series.keys()
+        for k, r in got.items():
+            v = [x for x in series[k] if x is not None and x == x]
+            n, s = len(v), sum(int(b > a) - int(b < a) for i, a in enumerate(v) for b in v[i + 1 :])
+            t = np.unique(v, return_counts=True)[1].astype(float)
+            pairs, var, same = n * (n - 1) / 2, n * (n - 1) * (2 * n + 5) / 18, (t * (t - 1) / 2).sum()
+            assert (r["n"], r["s"]) == (n, s)
+            if n < 10 or (ties and pairs <= same):
+                assert r["tau"] is None and r["z"] is None and r["p"] is None
+                continue
+            tau, z = (s / math.sqrt(pairs * (pairs - same)), s / math.sqrt(var - (t * (t - 1) * (2 * t + 5)).sum() / 18)) if ties else (s / pairs, (s - np.sign(s)) / math.sqrt(var))
+            assert r["tau"] == pytest.approx(tau) and r["z"] == pytest.approx(z) and r["p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-12)
+
+
+def test_normal_tails_keep_the_stated_error(spark):
+    from fieldloom.functions.normal import two_sided_p, two_sided_sql
+
+    zs = [*np.linspace(0, 12, 4001).tolist(), 7.0710678118, 7.0710678119, 36.0, 40.0, -1.96]
+    got = [r["p"] for r in spark.createDataFrame([(z,) for z in [*zs, None]], "z double").coalesce(1).select(two_sided_p(F.col("z")).alias("p")).collect()]
+    assert got[-1] is None
+    for z, p in zip(zs, got[:-1], strict=True):
+        want = math.erfc(abs(z) / math.sqrt(2))
+        assert abs(p - want) < 1e-15 and p == pytest.approx(want, rel=1e-8, abs=1e-300)
+    import duckdb
+
+    for z, p in zip(zs[::100], got[:-1:100], strict=True):
+        assert duckdb.connect().execute(f"SELECT {two_sided_sql('z')} FROM (SELECT {z!r}::DOUBLE AS z)").fetchone()[0] == pytest.approx(p, rel=1e-12)
+
+
 def test_one_exchange_by_cell(spark):
     """All windows of the dense frame, and its aggregation, use the one repartition by cell."""
     from fieldloom.plans.features import temporal_features
