@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.normal import two_sided_p
+from fieldloom.sources.scratch import stored
 
 OFFSETS = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0))
 
+#: Hashes for each permutation, of which the first different ones count; digits to which simulated and actual statistics are compared.
+TRIES, DIGITS = 64, 9
+
 
 def fill_row_mean(cells: DataFrame, v: str = "v") -> DataFrame:
     """A dense lattice (row, col, v) with filled: v, else the mean of its row, else 0."""
@@ -77,57 +77,57 @@ def local_moran(cells: DataFrame, value: str = "filled") -> DataFrame:
 def lisa(cells: DataFrame, value: str = "filled", permutations: int = 199, seed: int = 42, p: str = "permutation", alpha: float = 0.05, had_data: str | None = None) -> DataFrame:
     """local_moran with p_sim and cls: the quadrant where p < alpha, else 0, and -1 where had_data is null.
 
-    p="permutation": (larger + 1) / (permutations + 1) with the smaller tail. The draws are one seeded table of places among "all cells but
-    me", the same for every cell; only z at those places is sent, so no task holds the lattice and the result doesn't hang on partitions.
+    p="permutation": (larger + 1) / (permutations + 1) with the smaller tail. The draws are one table of places among "all cells but
+    me", named by hashes of a counter and the same for every cell; only z at those places is sent, so no task holds the lattice and the result doesn't hang on partitions.
     p="analytic" uses z_i.
     """
     out = local_moran(cells, value)
     if p == "analytic":
         out = out.withColumn("p_sim", two_sided_p(F.col("z_i")) / 2)
     else:
-        out = permuted(out, permutations, seed)
+        out = permuted(stored(out, "local"), permutations, seed)
     cls = F.when(F.col("p_sim") < alpha, F.col("quadrant")).otherwise(0)
     return out.withColumn("cls", F.when(F.col(had_data).isNull(), -1).otherwise(cls) if had_data else cls)
 
 
+def draws(n: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """(p, j, place): for each permutation the first places, of n - 1, that a counter's hashes name, without repeats. n: one row."""
+    counter = n.sparkSession.range(permutations * TRIES).select(F.floor(F.col("id") / TRIES).cast("int").alias("p"), (F.col("id") % TRIES).cast("int").alias("c"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "p", "c").cast("binary")), 1, 15), 16, 10).cast("long")
+    named = counter.crossJoin(F.broadcast(n)).where("_n > 1").select("p", "c", (number % (F.col("_n") - 1)).alias("place"))
+    order = F.row_number().over(Window.partitionBy("p").orderBy("c"))  # TRIES rows at most
+    return named.groupBy("p", "place").agg(F.min("c").alias("c")).withColumn("j", order).where(F.col("j") <= len(OFFSETS)).select("p", "j", "place")
+
+
 def permuted(cells: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """cells (row, col, z, lag, n_neighbours) with p_sim."""
-    width = cells.agg(F.coalesce(F.max("col"), F.lit(0)) + 1).first()[0]
-    place = F.col("row").cast("long") * width + F.col("col")
-    n = cells.count()
-    if n < len(OFFSETS) + 2:
-        return cells.withColumn("p_sim", F.lit(None).cast("double"))
-    rng = np.random.default_rng(seed)
-    draws = np.array([rng.choice(n - 1, len(OFFSETS), replace=False) for _ in range(permutations)])
-    # cells by rank of place: draws name ranks, and p stands for p or p + 1; both are looked up
-    wanted = sorted({int(x) + k for x in draws.ravel() for k in (0, 1)})
-    at = ranks(cells.withColumn("_place", place))
-    few = cells.sparkSession.createDataFrame([(w,) for w in wanted], "_rank long")
-    z_at = {r["_rank"]: r["z"] for r in at.join(F.broadcast(few), "_rank").select("_rank", "z").collect()}  # 2 x 8 x permutations at most
-    low, high = (np.array([[z_at.get(int(x) + k) or 0.0 for x in d] for d in draws]) for k in (0, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rank, z, lag, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_rank", "z", "lag", "n_neighbours"))
-            p = []
-            for ri, zi, li, mi in zip(rank, z, lag, m, strict=True):
-                if not mi or zi is None or np.isnan(zi):
-                    p.append(None)
-                    continue
-                own = np.where(draws[:, :mi] < ri, low[:, :mi], high[:, :mi]).mean(1) * zi
-                larger = int((own >= zi * li).sum())
-                p.append((min(larger, permutations - larger) + 1) / (permutations + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), pa.array(p, pa.float64())], names=["row", "col", "p_sim"])
-
-    sims = at.select("row", "col", "_rank", "z", "lag", "n_neighbours").mapInArrow(run, "row int, col int, p_sim double")
-    return cells.join(sims, ["row", "col"])
+    """cells (row, col, z, lag, n_neighbours) with p_sim; null where there are no neighbours, no spread or too few cells. Places stand for ranks in order of row and column, without the cell's own."""
+    at = ranks(cells)
+    named = draws(cells.agg(F.count(F.lit(1)).alias("_n")), permutations, seed)
+    sides = named.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_rank", F.col("place") + F.col("k"))
+    found = at.select("_rank", "z").join(F.broadcast(sides), "_rank")  # 16 rows for each permutation
+    pairs = found.groupBy("p", "j", "place").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("z"))), F.lit(0.0)).alias(name) for k, name in ((0, "low"), (1, "high"))])
+    each = pairs.groupBy("p").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "place", "low", "high"))), lambda x: x.dropFields("j")).alias("at"))
+    table = each.agg(F.collect_list("at").alias("_draws"), F.count(F.lit(1)).alias("_count"))  # one row
+
+    def mean(at):
+        own = F.slice(at, F.lit(1), F.greatest(F.col("n_neighbours"), F.lit(1)).cast("int"))
+        total = F.aggregate(own, F.lit(0.0), lambda s, x: s + F.when(x["place"] < F.col("_rank"), x["low"]).otherwise(x["high"]))
+        return total / F.size(own)
+
+    actual = F.round(F.col("z") * F.col("lag"), DIGITS)  # rounded, so that equal values tie whatever the order of sums
+    larger = F.aggregate("_draws", F.lit(0), lambda n, at: n + (F.round(mean(at) * F.col("z"), DIGITS) >= actual).cast("int"))
+    out = at.crossJoin(F.broadcast(table)).withColumn("_larger", larger)
+    n = F.lit(permutations)
+    p = (F.least("_larger", n - F.col("_larger")) + 1) / (n + 1)
+    usable = (F.col("n_neighbours") > 0) & F.col("z").isNotNull() & (F.col("_count") == permutations) & (F.col("_cells") >= len(OFFSETS) + 2)
+    return out.withColumn("p_sim", F.when(usable, p)).drop("_draws", "_count", "_larger", "_rank", "_cells")
 
 
 def ranks(cells: DataFrame) -> DataFrame:
-    """cells with _rank of _place from 0: cells before the row, plus those before it in the row, so no task orders them all."""
+    """cells with _rank in order of row and column, from 0, and _cells, their number: cells before the row, plus those before it in the row, so no task orders them all."""
     rows = cells.groupBy("row").agg(F.count(F.lit(1)).alias("_c"))
-    before = rows.select("row", (F.sum("_c").over(Window.orderBy("row")) - F.col("_c")).alias("_before"))  # one row for each lattice row
-    inside = F.row_number().over(Window.partitionBy("row").orderBy("_place")) - 1
+    before = rows.select("row", (F.sum("_c").over(Window.orderBy("row")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_cells"))  # one row for each lattice row
+    inside = F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1
     return cells.withColumn("_in", inside).join(before, "row").withColumn("_rank", F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 

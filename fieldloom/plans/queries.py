@@ -424,7 +424,16 @@ def quality_months(spark, d):
     return quality.months_with_layer(T.raw_cells(spark, d))
 
 
-@query()
+PERMUTED = LATTICE + """, many AS (SELECT count(*) AS cnt FROM lagged), ranked AS (SELECT *, row_number() OVER (ORDER BY "row", col) - 1 AS rank FROM lagged),
+tries AS (SELECT p, c, CAST('0x' || substr(md5(concat_ws('-', 42, p, c)), 1, 15) AS BIGINT) % (cnt - 1) AS place FROM range(199) a(p), range(64) b(c), many WHERE cnt > 1),
+draws AS (SELECT p, place, row_number() OVER (PARTITION BY p ORDER BY c) AS j FROM (SELECT p, place, min(c) AS c FROM tries GROUP BY ALL) QUALIFY j <= 8),
+sims AS (SELECT a."row", a.col, p, any_value(a.z) * avg(b.z) AS own, any_value(a.z * a.lag) AS actual FROM ranked a JOIN draws ON j <= a.n_neighbours JOIN ranked b ON b.rank = place + CASE WHEN place < a.rank THEN 0 ELSE 1 END GROUP BY ALL),
+tails AS (SELECT "row", col, count(*) FILTER (round(own, 9) >= round(actual, 9)) AS larger FROM sims GROUP BY ALL),
+tested AS (SELECT "row", col, f1_mean, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN NOT z > 0 AND lag > 0 THEN 2 WHEN NOT z > 0 AND NOT lag > 0 THEN 3 WHEN z > 0 AND NOT lag > 0 THEN 4 END AS quadrant,
+  CASE WHEN cnt >= 10 AND z IS NOT NULL THEN (least(larger, 199 - larger) + 1) / 200.0 END AS p_sim FROM lagged LEFT JOIN tails USING ("row", col), many)"""
+
+
+@query(q('"row", col, quadrant, ' + r("CAST(p_sim AS DOUBLE) AS p_sim") + ", CASE WHEN f1_mean IS NULL THEN -1 WHEN p_sim < 0.05 THEN quadrant ELSE 0 END AS cls", "tested", PERMUTED))
 def lisa(spark, d):
     return rounded(spatial.lisa(coarse(spark, d), had_data="f1_mean").select("row", "col", "quadrant", "p_sim", "cls"))
 
@@ -471,16 +480,41 @@ def case_control_sample(spark, d):
     return points.case_control_sample(zoned(spark, d), ["zone"], ["cell_id"], 15).select("zone", "cell_id", "y")
 
 
+def newton_sql(name: str, start: str) -> str:
+    """CTEs: `name`_n takes the breakpoint's Newton steps from the table `start` (zone, theta), and `name` has parameters and likelihood of each theta."""
+    p, n = "1 / (1 + exp(-(a + b * u)))", breakpoint
+    held = f"greatest(least({p}, {1 - n.CLIP!r}), {n.CLIP!r})"
+    return f"""{name}_n AS (SELECT 0 AS step, zone, theta, side, 0e0 AS a, 0e0 AS b FROM {start}, (VALUES (0), (1)) s(side)
+UNION ALL SELECT step, zone, theta, side, a + da * {n.STRIDE!r} / greatest(abs(da), abs(db), {n.STRIDE!r}), b + db * {n.STRIDE!r} / greatest(abs(da), abs(db), {n.STRIDE!r})
+  FROM (SELECT *, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS da, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS db
+    FROM (SELECT f.step + 1 AS step, f.zone, f.theta, f.side, any_value(a) AS a, any_value(b) AS b, coalesce(sum(k - m * {p}), 0) - {n.RIDGE!r} * any_value(a) AS g0, coalesce(sum((k - m * {p}) * u), 0) - {n.RIDGE!r} * any_value(b) AS g1,
+      coalesce(sum(m * {p} * (1 - {p})), 0) + {n.RIDGE!r} AS h0, coalesce(sum(m * {p} * (1 - {p}) * u), 0) AS h1, coalesce(sum(m * {p} * (1 - {p}) * u * u), 0) + {n.RIDGE!r} AS h2
+      FROM {name}_n f LEFT JOIN bins ON bins.zone = f.zone AND (bins.x > f.theta) = (f.side = 1) WHERE f.step < {n.STEPS} GROUP BY ALL))),
+{name} AS (SELECT zone, theta, max(CASE WHEN side = 0 THEN a END) AS a1, max(CASE WHEN side = 0 THEN b END) AS b1, max(CASE WHEN side = 1 THEN a END) AS a2, max(CASE WHEN side = 1 THEN b END) AS b2, sum(nll) AS nll
+  FROM (SELECT f.zone, f.theta, f.side, any_value(a) AS a, any_value(b) AS b, -coalesce(sum(k * ln({held}) + (m - k) * ln(1 - {held})), 0) AS nll FROM {name}_n f LEFT JOIN bins ON bins.zone = f.zone AND (bins.x > f.theta) = (f.side = 1) WHERE f.step = {n.STEPS} GROUP BY ALL) GROUP BY ALL)"""
+
+
+FITS = ZONED + f""", guards AS (SELECT zone, count(*) AS n, CAST(sum(y) AS BIGINT) AS events, quantile_cont(x, 0.1) AS p10, quantile_cont(x, 0.9) AS p90 FROM everything WHERE x IS NOT NULL GROUP BY zone HAVING count(*) >= 20 AND sum(y) >= 5),
+scaled AS (SELECT *, (p10 + p90) / 2 AS mid, CASE WHEN p90 > p10 THEN (p90 - p10) / 2 ELSE 1e0 END AS half, (p90 - p10) / 24 AS step FROM guards),
+bins AS (SELECT zone, x, (x - mid) / half AS u, m, k FROM (SELECT zone, round(round(x, 9), 4) AS x, CAST(count(*) AS DOUBLE) AS m, CAST(sum(y) AS DOUBLE) AS k FROM everything WHERE x IS NOT NULL GROUP BY ALL) JOIN scaled USING (zone)),
+wide_ AS (SELECT DISTINCT zone, greatest(least(p10 + i * step, p90), p10) AS theta FROM scaled, range(25) r(i)), {newton_sql("rough", "wide_")},
+top_ AS (SELECT zone, theta FROM rough QUALIFY row_number() OVER (PARTITION BY zone ORDER BY round(nll, {breakpoint.DIGITS}), theta) = 1),
+close_ AS (SELECT DISTINCT zone, greatest(least(theta - step + i * (2 * step / 24), p90), p10) AS theta FROM top_ JOIN scaled USING (zone), range(25) r(i)), {newton_sql("near_", "close_")},
+chosen AS (SELECT * FROM (SELECT * FROM rough UNION ALL SELECT * FROM near_) QUALIFY row_number() OVER (PARTITION BY zone ORDER BY round(nll, {breakpoint.DIGITS}), theta) = 1),
+fits AS (SELECT zone, theta, a1 - b1 * mid / half AS a1, b1 / half AS b1, a2 - b2 * mid / half AS a2, b2 / half AS b2, nll, n, events FROM chosen JOIN scaled USING (zone))"""
+FITTED = "WITH RECURSIVE " + FITS
+
+
 def fits(spark, d):
     return breakpoint.fit_breakpoint(zoned(spark, d).select("zone", "x", "y"), 20, 5)
 
 
-@query()
+@query(f"{FITTED} SELECT zone, {', '.join(f'round(round({c}, 9), 6) + 0.0 AS {c}' for c in ('theta', 'a1', 'b1', 'a2', 'b2', 'nll'))}, n, events FROM fits")
 def fit_breakpoint(spark, d):
-    return fits(spark, d)
+    return rounded(fits(spark, d), 6)
 
 
-@query()
+@query(f"{FITTED} SELECT zone, round(round(theta, 9), 3) AS theta FROM fits")
 def zone_thresholds(spark, d):
     return breakpoint.zone_thresholds(fits(spark, d))
 
@@ -495,9 +529,10 @@ def predict_curve(spark, d):
     return rounded(breakpoint.predict_breakpoint(fits_))
 
 
-@query()
+@query(f"{FITTED} SELECT zone, {r('i / 199.0 AS x').replace('i / 199.0', 'CAST(i AS DOUBLE) / 199')}, round(round(1 / (1 + exp(-CASE WHEN CAST(i AS DOUBLE) / 199 <= theta THEN a1 + b1 * i / 199 ELSE a2 + b2 * i / 199 END)), 9), 6) + 0.0 AS p FROM fits, range(200) r(i)")
 def predict_breakpoint(spark, d):
-    return breakpoint.predict_breakpoint(fits(spark, d))
+    out = rounded(breakpoint.predict_breakpoint(fits(spark, d)).withColumn("p", F.round("p", 9)))
+    return out.withColumn("p", F.round("p", 6) + F.lit(0.0))
 
 
 @query(q("cell_id, coalesce(CAST(f1_mean < 0.4 AS DOUBLE), 0.0) AS f9_below", "cells LEFT JOIN means USING (cell_id)", LATTICE))

@@ -174,6 +174,43 @@ def test_planted_break(spark):
     assert [r["f9_below"] for r in below] == [1.0, 0.0, 0.0]
 
 
+def plain_fit(x, y, mid, half, rounds=200):
+    """Both parameters of one branch by plain Newton steps to the end, and the likelihood."""
+    u, a = (x - mid) / half, np.zeros(2)
+    d = np.stack([np.ones_like(u), u], 1)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-d @ a))
+        a = a + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + breakpoint.RIDGE * np.eye(2), d.T @ (y - p) - breakpoint.RIDGE * a)
+    p = np.clip(1 / (1 + np.exp(-d @ a)), breakpoint.CLIP, 1 - breakpoint.CLIP)
+    return a[0] - a[1] * mid / half, a[1] / half, -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+
+def test_breakpoint_is_the_best_of_plain_fits(spark):
+    rng = np.random.default_rng(6)
+    zones = {"rising": (rng.uniform(-0.2, 1, 400).round(3), lambda x: np.where(x < 0.3, 0.1, 0.3 + 0.5 * x)), "flat": (rng.uniform(0.2, 0.4, 300).round(4), lambda x: 0.4 + 0 * x), "parted": (rng.uniform(0, 1, 250).round(2), lambda x: (x > 0.6) * 1.0)}
+    rows, data = [], {}
+    for z, (x, f) in zones.items():
+        y = (rng.uniform(size=len(x)) < f(x)).astype(float)
+        data[z] = x, y
+        rows += [(z, float(a), int(b)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame([*rows, ("rising", None, 1), ("few", 0.1, 1), *[("none", i / 300, 0) for i in range(300)]], "zone string, x double, y int")
+    got = {r["zone"]: r for r in breakpoint.fit_breakpoint(df.repartition(3)).collect()}
+    assert got.keys() == zones.keys()
+    assert got == {r["zone"]: r for r in breakpoint.fit_breakpoint(df.repartition(7)).collect()}
+    for z, r in got.items():
+        x, y = data[z]
+        low, high = np.quantile(x, [0.1, 0.9])
+        mid, half = (low + high) / 2, (high - low) / 2
+
+        def total(theta):
+            return sum(plain_fit(x[m], y[m], mid, half)[2] for m in (x <= theta, x > theta) if m.any())
+
+        one, two = plain_fit(x[x <= r["theta"]], y[x <= r["theta"]], mid, half), plain_fit(x[x > r["theta"]], y[x > r["theta"]], mid, half)
+        assert (r["a1"], r["b1"], r["a2"], r["b2"]) == pytest.approx((*one[:2], *two[:2]), rel=1e-4, abs=1e-3)
+        assert r["nll"] == pytest.approx(one[2] + two[2], abs=1e-5) and (r["n"], r["events"]) == (len(x), y.sum())
+        assert r["nll"] <= min(total(t) for t in np.linspace(low, high, 25)) + 1e-5
+
+
 def exchanges(df):
     """Exchanges of the plan by kind, as it is before it runs."""
     spark = df.sparkSession

@@ -30,6 +30,6 @@ def test_same_rows(spark, con, name):
     assert ordered(df.select(*columns).collect()) == ordered(con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES[name]})").fetchall())
 
 
-@pytest.mark.parametrize("name", ["lisa", "fit_breakpoint", "zone_thresholds", "predict_breakpoint"])
-def test_runs(spark, name):
-    QUERIES[name](spark, SMALL).collect()
+
+def test_every_query_has_its_sql():
+    assert QUERIES.keys() == ORACLES.keys()
