@@ -9,13 +9,13 @@ RAW_LOW, RAW_HIGH, SCALE, SWITCH, NODATA = -2000, 10000, 1e-4, 2.0, -3000.0
 LOW, HIGH, GOOD = -0.2, 1.0, (0, 1)
 
 
-def rescale(cells: DataFrame, by: list[str], nodata: float | None = NODATA) -> DataFrame:
+def rescale(cells: DataFrame, by: list[str], nodata: float | None = NODATA, stats: DataFrame | None = None) -> DataFrame:
     """cells (raw, ...) with v. A granule whose largest value is over 2 holds scaled integers: those in range times 1e-4 stay. In others only nodata goes.
 
-    One aggregate of a row for each granule, joined back; Spark broadcasts it when it is small.
+    stats (by, largest) come from ingest, a row for each granule, and leave one scan of the cells; without them they are made by an aggregate that reads the cells first.
     """
     present = F.col("raw") if nodata is None else F.when(F.col("raw") != nodata, F.col("raw"))
-    largest = cells.groupBy(*by).agg(F.max(present).alias("_max"))
+    largest = cells.groupBy(*by).agg(F.max(present).alias("_max")) if stats is None else stats.select(*by, F.col("largest").alias("_max"))
     scaled = F.when(F.col("raw").between(RAW_LOW, RAW_HIGH), F.col("raw") * SCALE)
     return cells.join(largest, by, "left").withColumn("v", F.when(F.col("_max") > SWITCH, scaled).otherwise(present)).drop("_max")
 
@@ -38,9 +38,13 @@ def mask_quality_inline(cells: DataFrame, has_layer, good: tuple[int, ...] = GOO
     return cells.withColumn("v", F.when(~has_layer | F.coalesce(F.col("qa").isin(*good), F.lit(False)), F.col("v")))
 
 
-def profile(cells: DataFrame, n_cells: int, n_months: int) -> DataFrame:
-    """Shape, range and missing share of a cube (cell_id, t, v)."""
-    return cells.agg(F.count("v").alias("n_valid"), F.count_distinct("cell_id").alias("n_cells"), F.count_distinct("t").alias("n_months"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), (1 - F.count("v") / F.lit(float(n_cells * n_months))).alias("missing"))
+def profile(cells: DataFrame, n_cells: int, n_months: int, stats: DataFrame | None = None) -> DataFrame:
+    """Shape, range and missing share of a cube (cell_id, t, v); with the granules' statistics also how many there are, how many of them failed, and how many hold nothing but nodata."""
+    shape = cells.agg(F.count("v").alias("n_valid"), F.count_distinct("cell_id").alias("n_cells"), F.count_distinct("t").alias("n_months"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), (1 - F.count("v") / F.lit(float(n_cells * n_months))).alias("missing"))
+    if stats is None:
+        return shape
+    granules = stats.agg(F.count(F.lit(1)).alias("n_granules"), F.count_if(~F.col("readable")).alias("n_failed"), F.count_if(F.col("readable") & (F.col("n_present") == 0)).alias("n_blank"))
+    return shape.crossJoin(F.broadcast(granules))  # one row each
 
 
 def months_with_layer(cells: DataFrame, has_layer: str = "has_qa", month: str = "t") -> DataFrame:

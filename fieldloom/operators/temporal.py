@@ -56,10 +56,12 @@ def anomaly_range(deltas: DataFrame) -> DataFrame:
 
 
 def slice_month(cube: DataFrame, spine: DataFrame, year: int, month: int) -> DataFrame:
-    """Rows of a month, or of the spine's middle month if the spine lacks it."""
-    n = F.count(F.lit(1))
-    wanted = spine.agg(F.coalesce(F.max(F.when((F.col("year") == year) & (F.col("month") == month), F.col("t"))), F.floor(n / 2).cast("int")).alias("t"))
-    return cube.join(F.broadcast(wanted), "t")  # one row
+    """Rows of a month, or of the spine's middle month if the spine lacks it. The month is a scalar subquery on year and month: of a cube stored by month, only the month's folder is read."""
+    asked = (F.col("year") == year) & (F.col("month") == month)
+    there = F.max(asked).over(Window.partitionBy(F.lit(1)))  # a row for each month
+    wanted = spine.withColumns({"_there": there, "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))}).where(F.when(F.col("_there"), asked).otherwise(F.col("t") == F.floor(F.col("_n") / 2)))
+    only = lambda c: wanted.agg(F.max(c)).scalar()
+    return cube.where((F.col("year") == only("year")) & (F.col("month") == only("month")))
 
 
 def densify(cube: DataFrame, spine: DataFrame) -> DataFrame:

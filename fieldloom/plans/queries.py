@@ -137,10 +137,39 @@ def cube(spark, d):
     return rounded(T.cube(spark, d))
 
 
-@query(q("count(v) AS n_valid, count(DISTINCT cell_id) AS n_cells, count(DISTINCT t) AS n_months, " + r("min(v) AS v_min", "max(v) AS v_max", "1 - count(v) / (SELECT CAST(count(*) // 10 * 10 * 83 AS DOUBLE) FROM supplier) AS missing"), "cube"))
+@query(q('cell_id, "row", col, t, year, month, ' + r("v"), "cube"))
+def ingested_cube(spark, d):
+    """The cube from cells stored by month with their granules' statistics beside them."""
+    return rounded(T.cube_of(*T.ingested(spark, d)))
+
+
+@query(f"WITH {RAW} SELECT DISTINCT year, month, granule FROM raw")
+def granule_manifest(spark, d):
+    """Granules written as files of their own, told from the files' real paths."""
+    path = new_path(spark, "files")
+    granules.write_months(T.raw_cells(spark, d), path, ("granule",))
+    found = granules.table_manifest(spark, path, ("year", "month", "granule")).where("length > 0")
+    return found.select(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), "granule").distinct()
+
+
+@query(f"WITH {RAW}, {SPINE}, listed AS (SELECT t, granule FROM spine, (VALUES ('F'), ('O')) g(granule)) SELECT t, granule, count(raw.t) AS n, count(CASE WHEN raw <> -3000 THEN raw END) AS n_present, round(round(max(CASE WHEN raw <> -3000 THEN raw END), 12), 9) + 0.0 AS largest, count(raw.t) > 0 AS readable FROM listed LEFT JOIN raw USING (t, granule) GROUP BY ALL")
+def granule_stats(spark, d):
+    """Every granule that a month should have; those without a cell have failed."""
+    return rounded(T.ingested(spark, d)[1])
+
+
+@query(f"""WITH {RAW}, {SPINE}, expected AS (SELECT t, granule FROM spine, (VALUES ('F'), ('O')) g(granule)), listed AS (SELECT t, granule, count(raw.t) AS n, count(CASE WHEN raw <> -3000 THEN raw END) AS present FROM expected LEFT JOIN raw USING (t, granule) GROUP BY ALL)
+SELECT (SELECT count(*) FROM listed) AS n_granules, (SELECT count(*) FROM listed WHERE n = 0) AS n_failed, (SELECT count(*) FROM listed WHERE n > 0 AND present = 0) AS n_blank, count(v) AS n_valid, count(DISTINCT cell_id) AS n_cells, count(DISTINCT t) AS n_months, {r("min(v) AS v_min", "max(v) AS v_max", "1 - count(v) / (SELECT CAST(count(*) // 10 * 10 * 83 AS DOUBLE) FROM supplier) AS missing")} FROM cube""")
 def profile(spark, d):
-    g = T.grid(spark, d)
-    return rounded(quality.profile(T.cube(spark, d), g.height * g.width, T.MONTHS))
+    """Shape and range of the cube, and how many of its granules failed."""
+    g, (cells, stats) = T.grid(spark, d), T.ingested(spark, d)
+    return rounded(quality.profile(T.cube_of(cells, stats), g.height * g.width, T.MONTHS, stats))
+
+
+@query(q("cell_id, t, granule, " + r("raw"), "raw WHERE year = 1998 AND month = 6"))
+def slice_stored_month(spark, d):
+    """A month's raw cells from a table stored by month."""
+    return rounded(temporal.slice_month(T.ingested(spark, d)[0], T.spine(spark), 1998, 6).select("cell_id", "t", "granule", "raw"))
 
 
 @query(q("t, qa, count(*) AS n", "raw GROUP BY t, qa"))

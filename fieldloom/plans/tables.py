@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.grid import GridSpec
 from fieldloom.operators import quality
 from fieldloom.sources import granules
+from fieldloom.sources.scratch import new_path
 
 START, END, BASE, MONTHS = (1995, 1), (2001, 11), (1996, 1999), 83
 ZONES = (("west", 0, 4), ("middle", 3, 7), ("east", 5, 9))
@@ -35,17 +36,38 @@ def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def expected(spark: SparkSession) -> DataFrame:
+    """(t, granule): both granules of every month, as a manifest would list them."""
+    return spine(spark).select("t", F.explode(F.array(F.lit("F"), F.lit("O"))).alias("granule"))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw cells by month in the shared folder, and the statistics of every expected granule."""
+    return granules.ingest(raw_cells(spark, sf_dir), ["t", "granule"], new_path(spark, "granules"), expected(spark))
+
+
 def rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rescale(raw_cells(spark, sf_dir), ["t", "granule"])
 
 
+def mean_by_month(rescaled: DataFrame) -> DataFrame:
+    """The cube of rescaled cells: masked, with a mean by cell and month."""
+    masked = quality.mask_quality_inline(quality.mask_range(rescaled), F.col("has_qa"))
+    return masked.where("v IS NOT NULL").groupBy("cell_id", "row", "col", "t", "year", "month").agg(F.avg("v").alias("v"))
+
+
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.mask_quality_inline(quality.mask_range(rescaled(spark, sf_dir)), F.col("has_qa"))
 
 
 def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean by cell and month."""
-    return masked(spark, sf_dir).where("v IS NOT NULL").groupBy("cell_id", "row", "col", "t", "year", "month").agg(F.avg("v").alias("v"))
+    return mean_by_month(rescaled(spark, sf_dir))
+
+
+def cube_of(cells: DataFrame, stats: DataFrame) -> DataFrame:
+    """The same from ingested cells and statistics: one scan of the cells."""
+    return mean_by_month(quality.rescale(cells, ["t", "granule"], stats=stats))
 
 
 def point_events(spark: SparkSession, sf_dir: str) -> DataFrame:

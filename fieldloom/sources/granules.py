@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.grid import GridSpec, cell_id
 
+#: Cell ids of a file of a month; columns of strips.
+FILE_CELLS, STRIPS = 1 << 22, "path string, row int, values array<double>"
 POINTS = "latitude double, longitude double, acq_date date, year int, month int"
 
 
@@ -44,6 +46,48 @@ def granule_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return dated.unionByName(known.where("ym IS NULL"), allowMissingColumns=True)
 
 
+def write_months(cells: DataFrame, path: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """cells (cell_id, year, month, ...) as Parquet in a folder for each month (and value of `more`), read back; a file holds a block of FILE_CELLS cell ids at most, so files are bounded and slices of months read their own folders only."""
+    block = F.floor(F.col("cell_id") / FILE_CELLS)
+    cells.repartition("year", "month", *more, block).write.partitionBy("year", "month", *more).parquet(path)
+    kinds = {f.name: f.dataType for f in cells.schema.fields}
+    return cells.sparkSession.read.parquet(path).select(*[F.col(c).cast(kinds[c]).alias(c) if c in more else F.col(c) for c in cells.columns])
+
+
+def table_manifest(spark: SparkSession, folder: str, keys: tuple[str, ...] = ("year", "month")) -> DataFrame:
+    """path, length and the keys of the folders it lies in, for the data files under a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    return files.select("path", "length", *[F.nullif(F.regexp_extract("path", f"/{k}=([^/]*)/", 1), F.lit("")).alias(k) for k in keys])
+
+
+def read_strips(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """(path, row, values) of the strip files (Parquet: row int, values array<double>) that a manifest (path, ...) lists. Files that can't be read are skipped; `granule_stats` tells which."""
+    paths = [r["path"] for r in manifest.select("path").collect()]  # one row for each file, which Spark's reader needs as a list
+    if not paths:
+        return spark.createDataFrame([], STRIPS)
+    rows = spark.read.schema("row int, values array<double>").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(*paths)
+    return rows.select(F.col("_metadata.file_path").alias("path"), "row", "values")
+
+
+def granule_stats(cells: DataFrame, by: list[str], manifest: DataFrame | None = None, nodata: float | None = -3000.0) -> DataFrame:
+    """(by, n, n_present, largest, readable) of each granule, of every one that the manifest (by, ...) lists: cells, cells with a value, the largest value, and whether there is any cell. What is not readable has failed.
+
+    Made once when cells come in, and kept beside them: masks then need no second scan to tell scaled granules from others.
+    """
+    present = F.col("raw") if nodata is None else F.when(F.col("raw") != nodata, F.col("raw"))
+    stats = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(present).alias("n_present"), F.max(present).alias("largest"))
+    if manifest is not None:
+        stats = manifest.select(*by).distinct().join(stats, by, "left")
+    return stats.withColumns({"n": F.coalesce("n", F.lit(0)), "n_present": F.coalesce("n_present", F.lit(0))}).withColumn("readable", F.col("n") > 0)
+
+
+def ingest(cells: DataFrame, by: list[str], path: str, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """cells (cell_id, year, month, by, raw, ...) and their granules' statistics, written under path and read back: cells by month, statistics beside them."""
+    stored = write_months(cells, f"{path}/cells")
+    granule_stats(stored, by, manifest).write.parquet(f"{path}/stats")
+    return stored, cells.sparkSession.read.parquet(f"{path}/stats")
+
+
 def filter_period(df: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
     """Rows whose (year, month) lies from start to end, both inclusive."""
     ym = F.col("year") * 12 + F.col("month")

@@ -238,6 +238,60 @@ def test_features_move_the_cube_once(spark):
     assert {r["cell_id"]: r["f6_mk_tau"] for r in plan.temporal_features(plan.dense_frame(laid, tables.spine(spark), tables.BASE, tables.MONTHS - 1), 6).collect()} == tau
 
 
+def test_ingested_cells_are_scanned_once(spark, tmp_path):
+    from fieldloom.plans import tables
+
+    cells, stats = tables.ingested(spark, "/root/testdata/sf0.001")
+    text, _ = exchanges(quality.rescale(cells, ["t", "granule"], stats=stats))
+    assert text.count("FileScan") == 2 and text.count("/stats") == 1  # the cells, and a row for each granule
+    assert sorted(map(tuple, tables.cube_of(cells, stats).selectExpr("cell_id", "t", "round(v, 9)").collect())) == sorted(map(tuple, tables.cube(spark, "/root/testdata/sf0.001").selectExpr("cell_id", "t", "round(v, 9)").collect()))
+
+
+def files_read(df):
+    """Files that the scans of a frame read when it ran."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.collectToPython()
+    leaves = plan.collectLeaves()
+    return [leaves.apply(k).metrics().get("numFiles").get().value() for k in range(leaves.size()) if leaves.apply(k).metrics().contains("numFiles")]
+
+
+def test_slices_read_their_month_only(spark, tmp_path):
+    rows = [(c, 2000 + t // 12, t % 12 + 1, t, float(c + t)) for t in range(30) for c in range(5)]
+    cells = granules.write_months(spark.createDataFrame(rows, "cell_id long, year int, month int, t int, v double"), str(tmp_path / "m"))
+    spine = granules.month_spine(spark, (2000, 1), (2002, 6))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for asked, t in (((2001, 4), 15), ((1990, 1), 15), ((2002, 6), 29)):
+            part = temporal.slice_month(cells, spine, *asked)
+            assert sorted(r["v"] for r in part.collect()) == [float(c + t) for c in range(5)]
+            assert files_read(temporal.slice_month(cells, spine, *asked))[0] == 1
+        assert files_read(granules.filter_period(cells, (2000, 11), (2001, 2)))[0] == 4
+        assert files_read(cells)[0] == 30
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found = granules.table_manifest(spark, str(tmp_path / "m")).collect()
+    assert len(found) == 30 and {(int(r["year"]), int(r["month"])) for r in found} == {(2000 + t // 12, t % 12 + 1) for t in range(30)} and all(r["length"] > 0 for r in found)
+
+
+def test_granules_that_fail_are_listed(spark, tmp_path):
+    for name, rows in {"a": [(0, [5000.0, -3000.0]), (1, [3000.0, 9000.0])], "b": [(0, [-3000.0, -3000.0])]}.items():
+        spark.createDataFrame(rows, "row int, values array<double>").coalesce(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "c.parquet").write_bytes(b"this is no strip file")
+    paths = [f"file:{f}" for n in "ab" for f in (tmp_path / n).glob("*.parquet")] + [f"file:{tmp_path}/c.parquet"]
+    manifest = spark.createDataFrame([(p.replace("file:", "file://"),) for p in paths], "path string")
+    strips = granules.read_strips(spark, manifest)
+    cells = granules.explode_strips(strips, GridSpec(1, 0, -1, 0, 2, 2))
+    by_path = {r["path"]: (r["n"], r["n_present"], r["largest"], r["readable"]) for r in granules.granule_stats(cells, ["path"], manifest).collect()}
+    want = [(4, 3, 9000.0, True), (2, 0, None, True), (0, 0, None, False)]
+    assert [by_path[p.replace("file:", "file://")] for p in paths] == want
+    stats = granules.granule_stats(cells, ["path"], manifest)
+    shape = quality.profile(spark.createDataFrame([(1, 0, 0.5)], "cell_id long, t int, v double"), 4, 1, stats).first()
+    assert (shape["n_granules"], shape["n_failed"], shape["n_blank"], shape["n_valid"]) == (3, 1, 1, 1)
+    assert granules.read_strips(spark, manifest.where("false")).count() == 0
+    scaled = quality.rescale(cells.where("raw > 0"), ["path"], stats=stats).agg(F.max("v")).first()[0]
+    assert scaled == pytest.approx(0.9)
+
+
 def test_blocks_follow_the_values(spark):
     from fieldloom.sources import layout
 
