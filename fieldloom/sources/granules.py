@@ -66,7 +66,8 @@ def read_strips(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], STRIPS)
     rows = spark.read.schema("row int, values array<double>").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(*paths)
-    return rows.select(F.col("_metadata.file_path").alias("path"), "row", "values")
+    path = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")  # as listings write it
+    return rows.select(path.alias("path"), "row", "values")
 
 
 def granule_stats(cells: DataFrame, by: list[str], manifest: DataFrame | None = None, nodata: float | None = -3000.0) -> DataFrame:
