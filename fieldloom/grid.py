@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Powers of two degrees of the finest and the coarsest grid by which boxes are cut.
+LEVELS = (-20, 9)
+
+
 @dataclass(frozen=True)
 class GridSpec:
     """Cell sizes a and e (e negative), top left corner (c, f), and shape."""
@@ -61,6 +65,18 @@ def upscale(coarse: DataFrame, cells: DataFrame, grid: GridSpec, stride: int, ho
 
 
 def assign_zones(cells: DataFrame, zones: DataFrame) -> DataFrame:
-    """A row for each cell (lon, lat) and zone box that holds its centre, all edges inclusive. zones: a handful of boxes, broadcast."""
+    """A row for each cell (lon, lat) and zone box that holds its centre, all edges inclusive; boxes may overlap and there may be many.
+
+    Boxes are cut by grids of powers of two degrees: each by the one whose squares are as wide as it is, so it touches four of them at most. Cells look up their square in each grid
+    that some box uses, which is a join by equal squares that Spark broadcasts or deals out by the sizes it finds; then the edges are tested.
+    """
+    level = F.greatest(F.least(F.ceil(F.log2(F.greatest(F.col("lon_max") - F.col("lon_min"), F.col("lat_max") - F.col("lat_min"), F.lit(2.0**LEVELS[0])))), F.lit(LEVELS[1])), F.lit(LEVELS[0])).cast("int")
+    square = lambda x, at: F.floor(F.col(x) / F.pow(F.lit(2.0), F.col(at)))
+    boxes = zones.where("lon_min <= lon_max AND lat_min <= lat_max").withColumn("_level", level)
+    used = boxes.select("_level").distinct().agg(F.collect_list("_level").alias("_levels"))  # one row, a number for each grid
+    for name, x in (("_x", "lon"), ("_y", "lat")):
+        boxes = boxes.withColumn(name, F.explode(F.sequence(square(f"{x}_min", "_level"), square(f"{x}_max", "_level"))))
+    at = cells.crossJoin(F.broadcast(used)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    at = at.withColumns({"_x": square("lon", "_level"), "_y": square("lat", "_level")})
     inside = F.col("lon").between(F.col("lon_min"), F.col("lon_max")) & F.col("lat").between(F.col("lat_min"), F.col("lat_max"))
-    return cells.join(F.broadcast(zones), inside).drop("lon_min", "lon_max", "lat_min", "lat_max")
+    return at.join(boxes, ["_level", "_x", "_y"]).where(inside).drop("_level", "_x", "_y", "lon_min", "lon_max", "lat_min", "lat_max")

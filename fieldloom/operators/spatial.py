@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.normal import two_sided_p
@@ -10,6 +10,8 @@ from fieldloom.sources.scratch import stored
 
 OFFSETS = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0))
 
+#: Rows and columns of a tile.
+TILE = 64
 #: Hashes for each permutation, of which the first different ones count; digits to which simulated and actual statistics are compared.
 TRIES, DIGITS = 64, 9
 
@@ -19,22 +21,43 @@ def fill_row_mean(cells: DataFrame, v: str = "v") -> DataFrame:
     return cells.withColumn("filled", F.coalesce(F.col(v), F.avg(v).over(Window.partitionBy("row")), F.lit(0.0)))
 
 
-def edges(cells: DataFrame) -> DataFrame:
-    """(row, col, src_row, src_col) of each cell and the eight places around it."""
-    around = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in OFFSETS])
-    return cells.withColumn("_o", F.explode(around)).withColumns({"to_row": F.col("row") + F.col("_o.r"), "to_col": F.col("col") + F.col("_o.c")}).drop("_o")
+def tiles(cells: DataFrame, halo: int = 1, side: int = TILE) -> DataFrame:
+    """cells dealt by square tiles (_tr, _tc): each to its own, and where it lies within `halo` of the edge to the tiles beyond. The one exchange of what looks at neighbours; inner cells move once."""
+    reach = (-halo, 0, halo)
+    near = F.array_distinct(F.array(*[F.struct(F.floor((F.col("row") + r) / side).alias("_tr"), F.floor((F.col("col") + c) / side).alias("_tc")) for r in reach for c in reach]))
+    return cells.select("*", F.inline(near)).repartition("_tr", "_tc")
 
 
-def neighbour_lag(cells: DataFrame, value: str) -> DataFrame:
-    """cells (row, col, value) with lag, the mean of the neighbours' values, and n_neighbours; cells without neighbours have lag 0.
+def inner(rows: DataFrame, side: int = TILE) -> DataFrame:
+    """Rows in their own tile, each cell once."""
+    return rows.where((F.col("_tr") == F.floor(F.col("row") / side)) & (F.col("_tc") == F.floor(F.col("col") / side))).drop("_tr", "_tc")
 
-    Every cell sends its value to eight places and sums meet there: one shuffle, no join of the lattice with itself.
-    """
-    sent = edges(cells.select("row", "col", F.col(value).alias("_v"))).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("_v").alias("_s"), F.count("_v").alias("n_neighbours"))
-    out = cells.join(sent, ["row", "col"], "left").withColumn("n_neighbours", F.coalesce("n_neighbours", F.lit(0)))
+
+def around(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """rows of tiles() with sums of values over the eight cells around each, as far as the tile has them: columns are summed by rows above and below, then rows by columns on both sides."""
+    values = {f"_v{k}": v for k, v in enumerate(values.values())} | {"_names": list(values)}
+    names = values.pop("_names")
+    sent = rows.withColumns(values).withColumn("_d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_to", F.col("row") + F.col("_d"))
+    own = F.first(F.when(F.col("_d") == 0, F.struct(*rows.columns)), ignorenulls=True)
+    sums = [f for v in values for f in (F.sum(v).alias(f"{v}_all"), F.sum(F.when(F.col("_d") != 0, F.col(v))).alias(f"{v}_near"))]
+    column = sent.groupBy("_tr", "_tc", "_to", "col").agg(own.alias("_own"), *sums)
+    order = Window.partitionBy("_tr", "_tc", "_to").orderBy("col")  # a row of a tile
+    side = lambda v, k: F.coalesce(F.sum(f"{v}_all").over(order.rangeBetween(k, k)), F.lit(0))
+    totals = [(side(v, -1) + side(v, 1) + F.coalesce(f"{v}_near", F.lit(0))).alias(name) for v, name in zip(values, names, strict=True)]
+    return column.select("_own", *totals).where("_own IS NOT NULL").select("_own.*", *names)
+
+
+def with_lag(rows: DataFrame, value: str) -> DataFrame:
+    v = F.col(value)
+    out = around(rows, {"_s": v, "n_neighbours": v.isNotNull().cast("long")})
     return out.withColumn("lag", F.coalesce(F.col("_s") / F.nullif("n_neighbours", F.lit(0)), F.lit(0.0))).drop("_s")
 
 
+def neighbour_lag(cells: DataFrame, value: str) -> DataFrame:
+    """cells (row, col, value) with lag, the mean of the neighbours' values, and n_neighbours; cells without neighbours have lag 0. Only cells at the edge of a tile move more than once."""
+    return inner(with_lag(tiles(cells), value))
+
+
 def standardised(cells: DataFrame, value: str) -> DataFrame:
     """cells with z = (value - mean) / population deviation; null if there is no spread. The two moments are one row."""
     moments = cells.agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
@@ -44,11 +67,9 @@ def standardised(cells: DataFrame, value: str) -> DataFrame:
 
 def morans_i(cells: DataFrame, value: str = "filled") -> DataFrame:
     """n, I, E[I], variance under normality, z and two-sided p, with row-standardised queen weights; I is null without spread."""
-    lagged = neighbour_lag(standardised(cells, value), "z")
-    # S1 and S2 of row-standardised weights: w_ij = 1 / n_i, and sums of columns come from the neighbours' 1 / n
-    inverse = lagged.withColumn("inv", F.coalesce(1 / F.nullif(F.col("n_neighbours"), F.lit(0)), F.lit(0.0)))
-    sent = edges(inverse.select("row", "col", "inv", "n_neighbours")).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.sum("inv").alias("_col"))
-    both = inverse.join(sent, ["row", "col"], "left").withColumn("_col", F.coalesce("_col", F.lit(0.0)))
+    # S1 and S2 of row-standardised weights: w_ij = 1 / n_i, and sums of columns come from the neighbours' 1 / n; a halo of two gives neighbours all of theirs
+    inverse = with_lag(tiles(standardised(cells, value), 2), "z").withColumn("inv", F.coalesce(1 / F.nullif(F.col("n_neighbours"), F.lit(0)), F.lit(0.0)))
+    both = inner(around(inverse, {"_col": F.col("inv")}))
     has = (F.col("n_neighbours") > 0).cast("double")
     # sum over neighbours j of (w_ij + w_ji)^2 = 1/n_i + 2/n_i * sum_j 1/n_j + sum_j 1/n_j^2; halved by symmetry it is sum of 1/n_i + sum_i inv_i * colsum_i
     sums = both.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("z") * F.col("lag")).alias("zl"), F.sum(has).alias("s0"), F.sum("inv").alias("si"), F.sum(F.col("inv") * F.col("_col")).alias("sc"), F.sum((has + F.col("_col")) * (has + F.col("_col"))).alias("s2"))

@@ -108,6 +108,56 @@ def test_zones_overlap_and_edges_count(spark):
     assert sorted((r["cell_id"], r["zone"]) for r in assign_zones(cells, zones).collect()) == [(1, "a"), (2, "a"), (2, "b")]
 
 
+def test_many_boxes_and_every_edge(spark):
+    """100,000 boxes of all sizes against a plain search, joined by equal squares."""
+    rng = np.random.default_rng(12)
+    n = 100_000
+    x, y = rng.uniform(-180, 179, n).round(3), rng.uniform(-90, 89, n).round(3)
+    w, h = (10 ** rng.uniform(-3, 0, (2, n))).round(3)
+    boxes = np.stack([x, x + w, y, y + h], 1)
+    boxes[:3] = [-180, 180, -90, 90], [10, 10, 20, 20], [0, 1000, 0, 1000]
+    where = "zone int, lon_min double, lon_max double, lat_min double, lat_max double"
+    zones = spark.createDataFrame([*((k, *map(float, b)) for k, b in enumerate(boxes)), (-1, 5.0, 4.0, 0.0, 1.0), (-2, None, 1.0, 0.0, 1.0)], where)
+    corners = [(boxes[k][i], boxes[k][2 + j]) for k in range(200) for i in (0, 1) for j in (0, 1)]
+    pts = [(float(a), float(b)) for a, b in [*corners, (10, 20), *rng.uniform(-90, 90, (300, 2))]]
+    cells = spark.createDataFrame([(k, *p) for k, p in enumerate(pts)], "cell_id long, lon double, lat double")
+    want = {(k, z) for k, (a, b) in enumerate(pts) for z in np.flatnonzero((boxes[:, 0] <= a) & (a <= boxes[:, 1]) & (boxes[:, 2] <= b) & (b <= boxes[:, 3])).tolist()}
+    got = assign_zones(cells, zones)
+    assert got.columns == ["cell_id", "lon", "lat", "zone"]
+    rows = [(r["cell_id"], r["zone"]) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
+@pytest.mark.parametrize("side", [3, 64])
+def test_lags_with_holes_and_tiles(spark, monkeypatch, side):
+    monkeypatch.setattr(spatial.tiles, "__defaults__", (1, side))
+    monkeypatch.setattr(spatial.inner, "__defaults__", (side,))
+    rng = np.random.default_rng(side)
+    cells = {(r, c): (None if rng.random() < 0.1 else float(rng.normal())) for r in range(-2, 11) for c in range(9) if rng.random() < 0.7}
+    df = spark.createDataFrame([(r, c, v, "x") for (r, c), v in cells.items()], "row int, col int, v double, s string")
+    got = {(r["row"], r["col"]): (r["v"], r["s"], r["n_neighbours"], r["lag"]) for r in spatial.neighbour_lag(df, "v").collect()}
+    assert got.keys() == cells.keys()
+    for (r, c), (v, s, n, lag) in got.items():
+        near = [cells[p] for p in ((r + a, c + b) for a, b in spatial.OFFSETS) if cells.get(p) is not None]
+        assert (v, s, n) == (cells[r, c], "x", len(near)) and lag == pytest.approx(sum(near) / len(near) if near else 0.0)
+    z = rng.normal(size=(8, 7))
+    whole = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(8) for c in range(7)], "row int, col int, filled double")
+    monkeypatch.setattr(spatial.tiles, "__defaults__", (1, max(side, 5)))
+    monkeypatch.setattr(spatial.inner, "__defaults__", (max(side, 5),))
+    small = spatial.morans_i(whole).first()
+    monkeypatch.setattr(spatial.tiles, "__defaults__", (1, 64))
+    monkeypatch.setattr(spatial.inner, "__defaults__", (64,))
+    assert list(small.asDict().values()) == pytest.approx(list(spatial.morans_i(whole).first().asDict().values()))
+
+
+def test_only_borders_move_twice(spark):
+    df = spark.range(128 * 128).select(F.floor(F.col("id") / 128).cast("int").alias("row"), (F.col("id") % 128).cast("int").alias("col"), F.rand(1).alias("v"))
+    assert spatial.tiles(df).count() <= 128 * 128 * 1.11
+    text, n = exchanges(spatial.neighbour_lag(df, "v"))
+    assert n == 1
+
+
 def lattice(spark, f, n=6):
     return spark.createDataFrame([(r, c, float(f(r, c))) for r in range(n) for c in range(n)], "row int, col int, filled double")
 
