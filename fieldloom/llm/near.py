@@ -8,7 +8,7 @@ by formula. Who meets is deduplicated, compared by long fingerprints (PARTS of 6
 and verified by the exact similarity of both sets.
 
 Groups are components of verified pairs. Texts with equal sets are one node. Nodes of one variant are put in order and paired with the WIDTH before
-them; variants of more nodes whose members are then still in several components have all remaining pairs between components compared, in
+them; where more nodes share an anchor and are then still in several components, all remaining pairs of like size between components are compared, in
 blocks dealt to many tasks, which give the pairs that join components, never all. So no pair that meets is left out, while a large group of copies in one component costs a few comparisons a member.
 
 Edge cases: as in simhash: a null text is empty; a text shorter than a shingle has one shingle of all its words, one without words has none
@@ -17,6 +17,7 @@ and is equal to others without; a null doc_id counts as smallest; one row stays
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.llm.shared import materialize, small, text_or_empty
+from fieldloom.llm.shared import drop, materialize, scratch, small, text_or_empty
 from fieldloom.llm.simhash import majority
 
 SHINGLE, JACCARD, SEED = 5, 0.8, 42
 TABLES, PARTS, FAR = 6, 4, 72
-WIDTH, BLOCK = 4, 512
+WIDTH, BLOCK = 4, 1024
 #: Rows of an Arrow batch out, and shingles worked on at once.
 SLICE, CHUNK = 500, 1 << 16
 LEAST = -(2**63)
@@ -75,18 +76,18 @@ def node_of(own: np.ndarray) -> int:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(d, t, node, some, anchors, fingerprint) of every row of texts (d, t, text): node names its set of shingles, some is whether it has any."""
+    """(d, t, node, some, size, anchors, fingerprint) of every row of texts (d, t, text): node names its set of shingles, size is how many it has, some whether it has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                rows = [(node_of(s), len(s) > 0, sketch(s)) for s in (shingles(x.as_py()) for x in batch.column(2))]
+                rows = [(node_of(s), len(s), sketch(s)) for s in (shingles(x.as_py()) for x in batch.column(2))]
                 numbers = np.array([r[2] for r in rows], "i8").reshape(-1, len(SKETCH))
-                columns = [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), *(pa.array(numbers[:, k].copy()) for k in range(len(SKETCH)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "node", "some", *SKETCH])
+                columns = [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] > 0 for r in rows]), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(numbers[:, k].copy()) for k in range(len(SKETCH)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "node", "some", "size", *SKETCH])
 
-    return texts.mapInArrow(run, "d long, t long, node long, some boolean, " + ", ".join(f"{c} long" for c in SKETCH))
+    return texts.mapInArrow(run, "d long, t long, node long, some boolean, size int, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -172,23 +173,29 @@ def joined(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def remaining(nodes: DataFrame, roots: DataFrame, short: DataFrame) -> DataFrame:
-    """(a, b): pairs that join components of those who meet at a key of more than WIDTH + 1 nodes, by comparing all that are in several components.
+    """(a, b): pairs that join components of those who share a table's anchor, where more than WIDTH + 1 nodes do, by comparing all that are in several components.
 
-    At each key the nodes outside of its largest component are compared with all. Both sides are dealt to blocks of BLOCK nodes.
+    Balls aren't needed here: a node has one row for each table, in place of one for each variant, and bytes that are further apart only add comparisons. With each anchor the nodes outside of
+    its largest component are compared with all of like size. They are dealt by steps of size, which sets at JACCARD have in common or next to each other, and then to blocks of BLOCK nodes.
     """
-    balls = variants(nodes.where("some").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "root")
-    # the rows of keys that are in one component by now, as those of most large groups are, are counted and move no further
-    large = balls.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where((F.col("n") > WIDTH + 1) & (F.col("_lo") < F.col("_hi")))
-    members = materialize(balls.join(materialize(large.select("key"), "large"), "key").select("key", "node", "root"), "members")
+    tables = nodes.where("some").join(roots, "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), F.posexplode(F.array(*SKETCH[:TABLES])).alias("_t", "_a"))
+    held = tables.select(F.xxhash64("_t", "_a").alias("key"), "node", "size", "root")
+    large = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where((F.col("n") > WIDTH + 1) & (F.col("_lo") < F.col("_hi")))
+    members = materialize(held.join(materialize(large.select("key"), "large"), "key"), "members")
     by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    several = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("_main"), F.sum("c").alias("_n"), (F.sum("c") - F.max("c")).alias("_o")).where("_o > 0")
-    several = materialize(several.select("key", "_main", F.ceil(F.col("_o") / BLOCK).alias("_i"), F.ceil(F.col("_n") / BLOCK).alias("_j")), "several")
-    met = members.join(several, "key")
+    main = materialize(by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("_main")), "main")
+    level = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(JACCARD))).cast("int")
+    outside = materialize(members.join(main, "key").where("root <> _main").select("key", level.alias("level"), "node", "size", "root"), "outside")
+    spans = materialize(outside.groupBy("key", "level").agg(F.count(F.lit(1)).alias("_o"), F.min("size").alias("_least"), F.max("size").alias("_most")), "sizes")
+    like = members.alias("m").join(spans.alias("s"), (F.col("m.key") == F.col("s.key")) & (F.col("m.size") >= JACCARD * F.col("s._least")) & (JACCARD * F.col("m.size") <= F.col("s._most")))
+    like = materialize(like.select("m.key", "s.level", "m.node", "m.root"), "like")
+    blocks = spans.join(like.groupBy("key", "level").agg(F.count(F.lit(1)).alias("_n")), ["key", "level"]).select("key", "level", F.ceil(F.col("_o") / BLOCK).alias("_i"), F.ceil(F.col("_n") / BLOCK).alias("_j"))
+    blocks = materialize(blocks, "blocks")
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rows = met.where("root <> _main").select("key", deal(1, "_i").alias("i"), each("_j").alias("j"), "node", "root", F.lit(0).alias("side"))
-    columns = met.select("key", each("_i").alias("i"), deal(2, "_j").alias("j"), "node", "root", F.lit(1).alias("side"))
-    return rows.unionByName(columns).join(short, "node").groupBy("key", "i", "j").applyInPandas(joined, "a long, b long").distinct()
+    rows = outside.join(blocks, ["key", "level"]).select("key", "level", deal(1, "_i").alias("i"), each("_j").alias("j"), "node", "root", F.lit(0).alias("side"))
+    columns = like.join(blocks, ["key", "level"]).select("key", "level", each("_i").alias("i"), deal(2, "_j").alias("j"), "node", "root", F.lit(1).alias("side"))
+    return rows.unionByName(columns).join(short, "node").groupBy("key", "level", "i", "j").applyInPandas(joined, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,15 +234,17 @@ def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
     columns = [f"c_{k}" for k in range(len(docs.columns))]
     inner = docs.select(*[F.col(c).alias(k) for c, k in zip(docs.columns, columns, strict=True)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64(text_or_empty(text)).alias("t"))
     texts = inner.select("d", "t", F.col(columns[docs.columns.index(text)]).alias("text"))
-    rows = materialize(sketches(texts), "sketches")
-    firsts = [F.first(c).alias(c) for c in ("some", *SKETCH)]  # rows of a node agree in them
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("d", "t")).alias("_k"), *firsts), "nodes")
-    roots = components(links(texts, nodes))
-    first = materialize(nodes.select("node", "_k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k")).select("_k.d", "_k.t"), "kept")
-    # texts move only where rows are equal in (d, t), unless very many rows go
-    keys = rows.groupBy("d", "t").agg(F.count(F.lit(1)).alias("_n"))
-    gone = materialize(keys.join(first, ["d", "t"], "left_anti").select("d", "t"), "gone")
-    equal = materialize(keys.where("_n > 1").join(first, ["d", "t"], "left_semi").select("d", "t"), "equal")
+    with scratch() as tables:
+        rows = materialize(sketches(texts), "sketches")
+        firsts = [F.first(c).alias(c) for c in ("some", "size", *SKETCH)]  # rows of a node agree in them
+        nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("d", "t")).alias("_k"), *firsts), "nodes")
+        roots = components(links(texts, nodes))
+        first = materialize(nodes.select("node", "_k").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("_k").alias("_k")).select("_k.d", "_k.t"), "kept")
+        # texts move only where rows are equal in (d, t), unless very many rows go
+        keys = rows.groupBy("d", "t").agg(F.count(F.lit(1)).alias("_n"))
+        gone = materialize(keys.join(first, ["d", "t"], "left_anti").select("d", "t"), "gone")
+        equal = materialize(keys.where("_n > 1").join(first, ["d", "t"], "left_semi").select("d", "t"), "equal")
+        drop(tables, gone, equal)
     order = Window.partitionBy("d", "t").orderBy(F.xxhash64(*columns), *[F.col(c).cast("string") for c in columns])
     one = inner.join(small(equal), ["d", "t"], "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     out = inner.join(small(gone.unionByName(equal)), ["d", "t"], "left_anti").unionByName(one.select(*inner.columns))

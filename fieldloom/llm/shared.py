@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Paths of the tables made so far, for those who delete them when they are read no more.
-made: list[str] = []
+#: Tables made inside the innermost scratch() of this thread or task.
+_open: ContextVar[list | None] = ContextVar("tables", default=None)
 #: Rows of two numbers that are broadcast at most (some 30 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -43,10 +46,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    made.append(path)
+    if (tables := _open.get()) is not None:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """A list of the tables that materialize() makes inside, for drop(): an operator deletes those that its result doesn't read before it returns."""
+    token = _open.set(tables := [])
+    try:
+        yield tables
+    finally:
+        _open.reset(token)
+
+
+def drop(tables: list[DataFrame], *kept: DataFrame) -> None:
+    for t in tables:
+        if all(t is not k for k in kept):
+            release(t)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
