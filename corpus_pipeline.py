@@ -1,6 +1,7 @@
 """A corpus pipeline of five operators: quality, repeated lines, near copies, the mix of sources, token ids.
 
-Each stage takes all that the one before it kept and returns the columns of documents; the last one returns ids and digests.
+Each stage takes all that the one before it kept and returns the columns of documents; the last one returns ids and digests. Stages share nothing: each deletes the tables it makes on its way
+before it returns, but for small ones (keys, spans, sizes; no texts) that its result reads, so results may be read in any order and at any time.
 
 Edge cases, beyond those that each operator states: a null text is empty and is judged like any other, so most are rejected by the first stage; rows with a
 null doc_id take part (of equal ones one stays in the third stage); without labels every document scores 0.5 and stays; empty tables pass through
@@ -9,14 +10,11 @@ as empty tables; columns besides those of documents, whatever their names, reach
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import bpe, lines, mixing, near, quality
 from fieldloom.llm.queries import tokenizer_path
-from fieldloom.llm.shared import delete, documents, made, materialize, release
+from fieldloom.llm.shared import documents, materialize, release
 
 
 #: Half of what the encoder takes alone: workers still hold memory of the stages before.
@@ -48,26 +46,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, tokenizer_path(), ids=True, cache_bytes=CACHE_BYTES)
 
 
-_tables: list[str] = []
-
-
-def tidy(stage: Callable) -> Callable:
-    """The stage, which first deletes the tables that the one before it has left in the shared folder: its rows are written by then."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _tables:
-            delete(spark, _tables.pop())
-        before = len(made)
-        out = stage(spark, docs, sf_dir)
-        _tables.extend(made[before:])
-        del made[before:]
-        return out
-
-    return run
-
-
-STAGES = [(name, tidy(stage)) for name, stage in (("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded))]
+STAGES = [("quality classifier", good), ("line dedup", new_lines), ("SimHash near-dedup", one_copy), ("source mix", mixed), ("BPE", encoded)]
 
 #: SQL has neither the classifier nor the tokenizer; tests hold each stage's operator against brute force, and the third stage also on the pipeline's own rows.
 ORACLE_SQL = None

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.shared import materialize, release, text_or_empty
+from fieldloom.llm.shared import drop, materialize, release, scratch, text_or_empty
 
 #: Words that a run needs to count. Lines of a few words (greetings, headings, list items) recur in clean texts; the README has figures for other values.
 MIN_WORDS = 5
@@ -228,8 +228,11 @@ def cut(text: str | None, runs: list[tuple[int, int]], whole: bool, min_words: i
 
 def marked(docs: DataFrame, min_words: int, text: str = "text") -> DataFrame:
     """docs (columns c_0, c_1, ...) with _runs, the copied runs of each, and _whole, true for all but the first of equal rows."""
-    copies = earlier_copies(suffixes(docs, min_words, text), min_words)
-    runs = copies.groupBy("d", "t").agg(F.collect_list(F.struct("j", "n")).alias("_runs")).withColumnsRenamed({"d": "_d", "t": "_t"})
+    with scratch() as tables:
+        copies = earlier_copies(suffixes(docs, min_words, text), min_words)
+        runs = copies.groupBy("d", "t").agg(F.collect_list(F.struct("j", "n")).alias("_runs")).withColumnsRenamed({"d": "_d", "t": "_t"})
+        runs = materialize(runs, "runs")
+        drop(tables, runs)
     keyed = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(docs.columns)], doc_key().alias("_d"), text_key(text).alias("_t"))
     out = keyed.join(runs, ["_d", "_t"], "left")
     every = F.xxhash64(*[f"c_{k}" for k in range(len(docs.columns))])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.shared import materialize
+from fieldloom.llm.shared import drop, materialize, scratch
 
 STATISTICS = ("log_words", "word_chars", "symbols", "bars", "bangs", "digits", "upper", "marks", "again", "varied", "log_line_words", "line_again")
 SPACE = np.zeros(256, bool)
@@ -162,23 +162,8 @@ def keep(docs: DataFrame, model: Qda, least: float = 0.5, text: str = "text") ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
-    """Learn from labels and keep the rows of docs whose score is least or more. Texts are measured once: rows are written with their statistics."""
-    columns, at = docs.columns, docs.columns.index(text)
-    own = docs.select(*[F.col(c).alias(f"c_{k}") for k, c in enumerate(columns)])
-    x = T.StructField("x", T.ArrayType(T.DoubleType()))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = table(batch.column(at).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "x"])
-
-    rows = materialize(own.mapInArrow(measure, T.StructType([*own.schema.fields, x])), "measured")
-    model = fit(rows.select(F.col(f"c_{columns.index('doc_id')}").cast("long").alias("doc_id"), "x"), labels)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(len(columns)).flatten().to_numpy().reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], names=columns).filter(pa.array(model.score(values) >= least))
-
-    return rows.mapInArrow(judge, T.StructType(docs.schema.fields))
+    """Learn from labels and keep the rows of docs whose score is least or more. Texts are measured twice, to learn and to judge: the table between holds statistics only and is gone when this returns."""
+    with scratch() as tables:
+        model = fit(materialize(features(docs, text), "features"), labels)
+        drop(tables)
+    return keep(docs, model, least, text)

@@ -1,13 +1,16 @@
 """Mixing, embeddings, the classifier and the pipeline."""
 
+import glob
+import os
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import bpe, components, embed, mixing, near, quality, simhash
+from fieldloom.llm import bpe, components, embed, mixing, near, quality, shared, simhash
 from fieldloom.llm.queries import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -264,3 +267,37 @@ def test_pipeline_leaves_no_near_copies(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_copy(spark, docs, SMALL).collect()]
     assert sorted(i for i, _ in kept) == firsts_of_groups([(r["doc_id"], r["text"]) for r in docs.collect()])[0]
+
+
+def test_stages_leave_results_alone_and_no_large_tables(spark, tmp_path):
+    """A stage called twice, and the next one after it: both results can still be read, and what stays in the shared folder is small."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = set(os.listdir(folder))
+        one = stage(spark, docs, SMALL)
+        left = [f for name in set(os.listdir(folder)) - before for f in glob.glob(f"{folder}/{name}/*.parquet")]
+        assert not any("text" in pq.read_schema(f).names for f in left)
+        two = stage(spark, docs.where("doc_id < 100"), SMALL)
+        assert one.count() >= two.count() > 0
+        docs = spark.createDataFrame(one.collect(), docs.schema)
+
+
+def test_large_groups_of_like_anchors(spark):
+    """Carriers of one passage, each in a component of its own, among copies and near copies: as by comparing all pairs, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for k in range(120):
+        own = [f"u{x}" for x in rng.integers(0, 10**6, int(rng.integers(5, 60)))]
+        rows.append((k, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :])))
+    for k in range(120, 160):
+        words = rows[int(rng.integers(0, 120))][1].split()
+        words[int(rng.integers(0, len(words)))] = f"e{k}"
+        rows.append((k, " ".join(words)))
+    want, linked = firsts_of_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(linked) >= 20
+    for block in (1024, 7):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near, "BLOCK", block)
+            assert sorted(r["doc_id"] for r in near.one_of_each(df).collect()) == want
