@@ -17,8 +17,8 @@ from fieldloom.llm.queries import tokenizer_path
 from fieldloom.llm.shared import documents, materialize, release
 
 
-#: Half of what the encoder takes alone: workers still hold memory of the stages before.
-CACHE_BYTES = 1 << 27
+#: A quarter of what the encoder takes alone: workers still hold memory of the stages before.
+CACHE_BYTES = 1 << 26
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

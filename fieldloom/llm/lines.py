@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.runs import slices
 from fieldloom.llm.shared import drop, materialize, release, scratch, text_or_empty
 
 #: Words that a run needs to count. Lines of a few words (greetings, headings, list items) recur in clean texts; the README has figures for other values.
@@ -64,7 +65,7 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """(d, t, j, line, h, w): every line with a word, j its place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             d, t = (batch.column(k).to_numpy() for k in (0, 1))
             parts = [np.array(line_parts(x.as_py()), "i8").reshape(-1, 3) for x in batch.column(2)]
             n = [len(p) for p in parts]
@@ -246,7 +247,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", n_cha
     schema = T.StructType(docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             own = list(batch.columns[: len(columns)])
             texts, keep, sizes = [], [], own[size_at].to_pylist() if size_at is not None else []
             for k, (old, runs, whole) in enumerate(zip(own[at].to_pylist(), batch.column("_runs").to_pylist(), batch.column("_whole").to_pylist(), strict=True)):
@@ -267,7 +268,7 @@ def digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed and kept_sha256 of what stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [cut(old, [(r["j"], r["n"]) for r in runs or []], whole, min_words) for old, runs, whole in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
             shas = [hashlib.sha256(r[0].encode("utf-8", "replace")).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.runs import slices
 from fieldloom.llm.shared import drop, materialize, scratch
 
 STATISTICS = ("log_words", "word_chars", "symbols", "bars", "bangs", "digits", "upper", "marks", "again", "varied", "log_line_words", "line_again")
@@ -66,7 +67,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             x = table(batch.column(1).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
@@ -155,7 +156,7 @@ def keep(docs: DataFrame, model: Qda, least: float = 0.5, text: str = "text") ->
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(model.score(table(batch.column(at).to_pylist())) >= least))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
