@@ -343,3 +343,41 @@ def test_loose_forms_are_added_and_look_alikes_are_not(spark):
     texts = dict(rows)
     for i, r in out.items():
         assert r["base_sha256"] == sha(",".join(base(texts[i]))) and set(base(texts[i])) <= set(r["spans"].split(",") if r["spans"] else [])
+
+
+def test_context_refuses_what_passes_every_check(spark):
+    """Order numbers that pass the Luhn check and versions of four octets, in forms that only the trees can refuse, beside cards and addresses in the same forms that belong in."""
+    rng = np.random.default_rng(7)
+    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card(valid=True):
+        d = str(rng.integers(1, 10)) + num(14)
+        return next(d + c for c in "0123456789" if luhn(d + c) == valid)
+
+    dotted = lambda c: f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}"
+    rows = []
+    for k in range(500):  # orders in both forms, of which one in ten passes; cards that all do; phones, and numbers of other sorts
+        c = num(16)
+        rows.append((k, f"the order {dotted(c) if k % 2 else c} was paid with visa {card()} by tel +1 ({num(3)}) {num(3)}-{num(4)} for invoice {num(3)}-{num(3)}-{num(1)} and ticket {num(5)} {num(2)} {num(9)} on host 10.{k % 256}.7.{k % 200} as version {num(3)}.9{num(2)}.{num(3)}.{num(3)}"))
+    good = {1000 + k: dotted(card()) for k in range(80)}
+    bad = {2000 + k: dotted(card()) for k in range(80)}
+    rows += [(i, f"she pays by visa {c} for it") for i, c in good.items()] + [(i, f"see the order {c} for it") for i, c in bad.items()]
+    rows += [(3000 + k, f"as in invoice {num(3)}-{num(3)}-{num(4)} of old") for k in range(60)] + [(4000 + k, f"ring tel ({num(3)}) {num(3)}-{num(4)} of old") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not set(pii.FEATURES) & {"luhn", "address", "mail", "date", "n_digits"}
+    found, judge = pii.spans(df)
+    added = {r["doc_id"]: [pii.KINDS[x["k"]] for x in r["added"]] for r in found.collect()}
+    kinds = lambda lo, hi, kind: sum(kind in added[i] for i in range(lo, hi))
+    assert kinds(1000, 1080, "card") >= 76 and kinds(2000, 2080, "card") == 0  # the check alone passes all of both
+    assert kinds(4000, 4060, "phone") >= 57 and kinds(3000, 3060, "phone") <= 1
+    assert any(t not in (0.5, 2.0) for t in judge.thresholds)
+
+
+def test_chains_lose_no_spans(spark):
+    """Of spans that overlap like links of a chain, each that is clear of the one added before it stays."""
+    judge = pii.Judge(((1.0, 5.0),), (0.5,) * 4)
+    cands = lambda spans: [(k, s, e, "x", "", "", label) for k, s, e, label in spans]
+    rows = [(1, cands([(0, 0, 10, None), (1, 8, 18, None), (2, 16, 26, None), (3, 24, 30, None), (0, 40, 50, None)])), (2, cands([(0, 0, 10, None), (1, 5, 15, 1.0), (2, 15, 20, None), (2, 14, 20, None)])), (3, cands([(k % 4, 9 * k, 9 * k + 12, None) for k in range(200)])), (4, [])]
+    df = spark.createDataFrame(rows, f"doc_id long, cands {pii.CANDIDATE}")
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["added"]] for r in pii.with_added(df, judge).collect()}
+    assert got == {1: [(0, 10), (16, 26), (40, 50)], 2: [(15, 20)], 3: [(18 * k, 18 * k + 12) for k in range(100)], 4: []}
