@@ -2,8 +2,9 @@
 
 Vectors are scaled to length one and cut into halves; each half has a codebook of its own, and the product of both is a grid of cells. A vector
 lies in the cell of its nearest codewords and visits cells in order of summed squared distance, by the multi-sequence
-algorithm. Codebooks are fitted on a bounded sample. How many cells are visited is calibrated against the whole table: a bounded set of probes is
-compared with every vector, and the cells must hold `recall` of the neighbours found, both of all and on average of a probe. Where too few probes have
+algorithm. Labels are compared each on its own, so each has the grid that its size asks for: labels are put into levels by their number of vectors, a level's codebooks are fitted on a bounded sample
+of its labels, with codewords in proportion to the root of a label's size, and labels of OUTRIGHT vectors or fewer are one cell. How many cells are visited is calibrated against the whole table: a bounded set of a level's probes is
+compared with every vector of the level, and the cells must hold `recall` of the neighbours found, both of all and on average of a probe. Where too few probes have
 a neighbour at all, made-up ones at exactly the threshold stand in. In each visited cell of its label the cosines with the cell's vectors are taken in double precision, and every pair at the
 threshold or above is a link. A pair counts if either of the two visits the other's cell, once, for both.
 
@@ -27,13 +28,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
-from fieldloom.llm.shared import materialize
+from fieldloom.llm.shared import materialize, small
 
 COSINE, RECALL, SEED = 0.93, 0.99, 42
 #: Vectors that codebooks are fitted on, and probes that visits are calibrated with, on average; probes with neighbours that are enough, else so many are made up for each.
 SAMPLE, PROBES, ENOUGH, MADE_UP = 20_000, 2_000, 50, 4
 #: Vectors that a cell should hold; codewords of a half at most, and vectors of the sample for each; vectors of a block.
 CELL, CODEWORDS, PER_CODEWORD, BLOCK = 24, 2048, 8, 256
+#: Vectors of a label that are compared without an index.
+OUTRIGHT = 256
 
 
 def multi_sequence(da: np.ndarray, db: np.ndarray, n: int) -> list[int]:
@@ -95,10 +98,15 @@ class MultiIndex:
         return out
 
 
-def fit(x: np.ndarray, rows: int, groups: int) -> MultiIndex:
-    """Codebooks from a sample x of unit vectors. rows, groups: vectors and labels of the whole table; codewords grow in number with them."""
+def level(n: Column) -> Column:
+    """0 for labels of OUTRIGHT vectors or fewer; for others the power of two next to the codewords that their size asks for."""
+    return F.when(n <= OUTRIGHT, 0).otherwise(F.greatest(F.round(F.log2(n / F.lit(float(CELL))) / 2), F.lit(1.0))).cast("int")
+
+
+def fit(x: np.ndarray, level: int) -> MultiIndex:
+    """Codebooks for labels of a level, from a sample x of their unit vectors."""
     half = x.shape[1] // 2
-    k = int(np.clip(round((rows / max(groups, 1) / CELL) ** 0.5), 1, max(1, min(CODEWORDS, len(x) // PER_CODEWORD))))
+    k = max(1, min(2**level, CODEWORDS, len(x) // PER_CODEWORD))
     return MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k), k * k)
 
 
@@ -212,27 +220,36 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, recall: float = R
     keyed = rows.where(ok).withColumns({"k1": F.xxhash64("label", "v"), "k2": F.xxhash64(F.lit(SEED), F.reverse("v"), "label")})
     nodes = keyed.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    total, groups = nodes.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    if not total:
+    labels = materialize(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_c")).select("label", level(F.col("_c")).alias("level"), "_c"), "labels")
+    totals = {r["level"]: r["c"] for r in labels.groupBy("level").agg(F.sum("_c").alias("c")).collect()}  # one row for each power of two
+    if not totals:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    leveled = nodes.join(small(labels.select("label", "level")), "label")
 
-    def drawn(seed: int, n: int) -> pd.DataFrame:
+    def drawn(of: DataFrame, total: int, seed: int, n: int) -> pd.DataFrame:
         """n nodes, give or take, by a hash; one at least."""
         pick = F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(1_000_000))
-        some = nodes.where(pick < int(min(1.0, n / total) * 1_000_000) + 1).select("node", "label", "v").toPandas()
-        return some if len(some) else nodes.orderBy(pick, "k1", "k2").limit(1).select("node", "label", "v").toPandas()
+        some = of.where(pick < int(min(1.0, n / total) * 1_000_000) + 1).select("node", "label", "v").toPandas()
+        return some if len(some) else of.orderBy(pick, "k1", "k2").limit(1).select("node", "label", "v").toPandas()
 
-    index = fit(unit(drawn(SEED, SAMPLE)["v"]), total, groups)
-    index = calibrated(index, nodes, drawn(SEED + 1, PROBES), least, recall)
+    indexes: dict[int, MultiIndex] = {}
+    for own, total in sorted(totals.items()):
+        if own:
+            of = leveled.where(F.col("level") == own)
+            index = fit(unit(drawn(of, total, SEED, SAMPLE)["v"]), own)
+            indexes[own] = calibrated(index, of, drawn(of, total, SEED + 1, PROBES), least, recall)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            if len(d):
-                x = unit(d["v"])
-                yield d.assign(home=index.cells(x), visits=index.visited(x))
-
-    to_place = nodes.select("node", "label", "n", "v")
-    placed = materialize(to_place.mapInPandas(place, f"{to_place._jdf.schema().toDDL()}, home long, visits array<long>"), "cells")
+            for own, part in d.groupby("level"):
+                if own in indexes:
+                    x = unit(part["v"])
+                    yield part.assign(home=indexes[own].cells(x), visits=indexes[own].visited(x)).drop(columns="level")
+                else:
+                    yield part.assign(home=0, visits=[[0]] * len(part)).drop(columns="level")
+
+    to_place = leveled.select("node", "label", "n", "v", "level")
+    placed = materialize(to_place.mapInPandas(place, f"{to_place.drop('level')._jdf.schema().toDDL()}, home long, visits array<long>"), "cells")
     deal = lambda c, salt, n: F.pmod(F.xxhash64(F.lit(salt), c), n)
     homes = placed.groupBy("label", "home").agg(F.count(F.lit(1)).alias("_m")).withColumnRenamed("home", "cell")
     coming = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("_p"))

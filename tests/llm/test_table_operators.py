@@ -301,3 +301,28 @@ def test_large_groups_of_like_anchors(spark):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(near, "BLOCK", block)
             assert sorted(r["doc_id"] for r in near.one_of_each(df).collect()) == want
+
+
+def test_small_labels_leave_the_large_ones_grid_alone(spark, monkeypatch):
+    """A large label keeps its codewords and few visits beside very many small ones, and all planted links are found in both."""
+    rng = np.random.default_rng(15)
+    n, seen = 4000, []
+    own = rng.normal(size=(n // 2, 16))
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    near = own + 0.05 * rng.normal(size=own.shape)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([own, near]))]
+    tiny = [(10_000 + k, rng.normal(size=16).tolist(), 100 + k // 2) for k in range(3000)]
+    for k in range(0, 400, 2):
+        tiny[k + 1] = (tiny[k + 1][0], tiny[k][1], tiny[k + 1][2])
+        tiny[k + 1][1][0] += 1e-3
+    real = embed.calibrated
+    monkeypatch.setattr(embed, "calibrated", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = {r["vec_id"]: r for r in embed.near_duplicates(spark.createDataFrame(rows + tiny, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(seen) == 1 and len(seen[0].first) == 16 and seen[0].visits < 64
+    x = embed.unit([r[1] for r in rows])
+    want = ((x @ x.T >= 0.93).sum(1) - 1).tolist()
+    found = sum(got[k]["n_links"] for k in range(n))
+    assert all(got[k]["n_links"] <= want[k] for k in range(n)) and found >= 0.98 * sum(want) > 1000
+    assert all(got[10_000 + k]["n_links"] == 1 for k in range(400)) and len({got[10_000 + k]["component_id"] for k in range(400)}) == 200
+    y = embed.unit([r[1] for r in tiny])
+    assert all(got[10_000 + k]["n_links"] == int(y[k] @ y[k ^ 1] >= 0.93) for k in range(400, 3000))
