@@ -106,8 +106,10 @@ def smallest(df: DataFrame, by: list[str], order: str, ties: list[str], n: int |
         group = Window.partitionBy(*by)  # as many rows as parts, at most
         earlier = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.where("_want > 0").withColumns({"_before": F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_all": F.col("_before") + F.sum("_n").over(group), "_nth": F.row_number().over(group.orderBy("_p"))})
-        edge = placed.where("_before < _want AND _before + _n >= _want").select(*by, "_p", "_n", "_before", "_want")
-        return edge.unionByName(placed.where("_all < _want AND _nth = 1").select(*by, F.lit("~").alias("_p"), F.lit(0).cast("long").alias("_n"), F.col("_all").alias("_before"), "_want"))
+        short = F.col("_all") < F.col("_want")
+        edge = placed.where((short & (F.col("_nth") == 1)) | (~short & (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") >= F.col("_want"))))
+        either = lambda x, y: F.when(short, x).otherwise(F.col(y)).alias(y)
+        return edge.select(*by, either(F.lit("~"), "_p"), either(F.lit(0), "_n"), F.when(short, F.col("_all")).otherwise(F.col("_before")).alias("_before"), "_want")
 
     cut, width = stored(edges(counts), "cut"), digits
     while width < 32 and not cut.where(F.col("_n") > most).isEmpty():
