@@ -2,7 +2,7 @@
 
 Documents of a source queue up in a shuffled order (a seeded hash of doc_id and text). A document's virtual finish time is the
 number of words of its source up to its end, over the source's target. All sources' documents are then
-sorted by that time, and the mix ends where the running total of words would exceed the budget. A source may be passed through `repeat` times;
+sorted by that time, and the mix ends where the running total of words would exceed the budget; the next document of a source is still taken if that brings the source nearer to its target. A source may be passed through `repeat` times;
 each pass follows the one before.
 
 Running totals are taken in two levels, of buckets and within a bucket, so that no source and no global order meets in
@@ -77,18 +77,39 @@ def queued(rows: DataFrame, repeat: int = REPEAT) -> DataFrame:
     return passes.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("_end")) / F.col("target")).drop("_end")
 
 
-def taken(queue: DataFrame, budget: float) -> DataFrame:
-    """The front of the queue in order of finish time, as long as the running total of sizes stays within the budget."""
+def front(queue: DataFrame, budget: float) -> tuple[DataFrame, DataFrame]:
+    """The front of the queue in order of finish time, as long as the running total of sizes stays within the budget, and what comes after it."""
     n = max(1, -(-queue.count() // BUCKET_ROWS))
     cut = queue.withColumn("_b", F.floor(F.col("finish") * n).cast("long"))
     sums = cut.groupBy("_b").agg(F.sum("size").alias("_sum"))
     totals = sums.select("_b", F.sum("_sum").over(Window.orderBy("_b")).alias("_end"), "_sum").withColumn("_before", F.col("_end") - F.col("_sum"))  # one row for each bucket
     edge = totals.where((F.col("_before") <= budget) & (F.col("_end") > budget)).select("_b", "_before").first()
     if edge is None:
-        return queue
+        return queue, queue.limit(0)
     order = Window.partitionBy("_b").orderBy("finish", "rank", "pass", "at", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = cut.where(F.col("_b") == edge["_b"]).withColumn("_run", F.sum("size").over(order) + edge["_before"]).where(F.col("_run") <= budget).drop("_run")
-    return cut.where(F.col("_b") < edge["_b"]).unionByName(last).drop("_b")
+    last = cut.where(F.col("_b") == edge["_b"]).withColumn("_run", F.sum("size").over(order) + edge["_before"])
+    split = lambda outer, inner: cut.where(outer).unionByName(last.where(inner).drop("_run")).drop("_b")
+    return split(F.col("_b") < edge["_b"], F.col("_run") <= budget), split(F.col("_b") > edge["_b"], F.col("_run") > budget)
+
+
+def taken(queue: DataFrame, budget: float) -> DataFrame:
+    """The front of the queue, and of each source the next in it where that brings the source nearer to its target: a long document at the cut would else leave its source short by up to its size.
+
+    The total is then the budget, give or take half a document for each source.
+    """
+    got, rest = front(queue, budget)
+    place = ["finish", "pass", "at", "doc_id", "tie"]
+    so_far = got.groupBy("rank").agg(F.sum("size").alias("_got"))
+    ahead = rest.groupBy("rank").agg(F.min(F.struct(*place, "size", "target")).alias("_next"))  # one row for each source
+    gap = F.col("_next.target") - F.coalesce("_got", F.lit(0))
+    wanted = ahead.join(so_far, "rank", "left").where(F.abs(gap - F.col("_next.size")) < F.abs(gap)).select(F.col("rank").alias("_rank"), *[F.col(f"_next.{c}").alias(f"_{c}") for c in place])
+    wanted = materialize(wanted, "next")
+    wanted = F.broadcast(wanted) if wanted.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else wanted
+    on = F.col("rank") == F.col("_rank")
+    for c in place:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    one = rest.join(wanted, on).select(rest.columns).dropDuplicates(["rank"])  # of equal rows one
+    return got.unionByName(one)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,23 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mixing.per_document(no_docs).count() == 0 and mixing.apply(no_docs).count() == 0
 
 
+def test_every_source_is_within_half_a_document(spark):
+    """Long documents at the cut, and on the given tables: no further document brings a source nearer to its target."""
+    rng = np.random.default_rng(4)
+    own = [(k, " ".join(["w"] * int(n)), f"s{k % 6}") for k, n in enumerate(rng.choice([3, 8, 20, 900], 400, p=[0.4, 0.3, 0.2, 0.1]))]
+    for df in (spark.createDataFrame([*own, *own[:3]], "doc_id long, text string, source string"), spark.read.parquet(f"{SMALL}/documents.parquet")):
+        rows = mixing.per_document(df).collect()
+        source = {r["doc_id"]: r["source"] for r in df.collect()}
+        got, goal, longest = Counter(), {}, Counter()
+        for r in rows:
+            s = source[r["doc_id"]]
+            got[s] += r["taken"]
+            goal[s] = r["target"]
+            longest[s] = max(longest[s], r["size"])
+        assert all(abs(got[s] - goal[s]) <= longest[s] / 2 + 1e-6 for s in goal), {s: (got[s], goal[s], longest[s]) for s in goal}
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.per_document(df.repartition(3)).collect()))
+
+
 def test_one_source_takes_one_and_a_half_times(spark):
     df = spark.range(50).selectExpr("id AS doc_id", "'a b c d' AS text", "'s' AS source")
     assert sum(r["taken"] for r in mixing.per_document(df).collect()) == 300
