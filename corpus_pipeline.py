@@ -17,8 +17,8 @@ from fieldloom.llm.queries import tokenizer_path
 from fieldloom.llm.shared import documents, materialize, release
 
 
-#: A quarter of what the encoder takes alone: workers still hold memory of the stages before.
-CACHE_BYTES = 1 << 26
+#: An eighth of what the encoder takes alone: workers stay, and the stages share an executor's memory with it.
+CACHE_BYTES = 1 << 25
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.runs import slices
-from fieldloom.llm.shared import drop, materialize, scratch
+from fieldloom.llm.shared import drop, materialize, scratch, text_or_empty
 
 STATISTICS = ("log_words", "word_chars", "symbols", "bars", "bangs", "digits", "upper", "marks", "again", "varied", "log_line_words", "line_again")
 SPACE = np.zeros(256, bool)
@@ -152,14 +152,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Qda, DataFrame]:
 
 
 def keep(docs: DataFrame, model: Qda, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs whose score is least or more; measured and judged in one pass, nothing is shuffled."""
-    at = docs.columns.index(text)
+    """The rows of docs whose score is least or more; measured and judged in one pass, only texts go to Python, nothing is shuffled."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            yield batch.filter(pa.array(model.score(table(batch.column(at).to_pylist())) >= least))
+    @F.arrow_udf(T.DoubleType())
+    def judge(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(table(texts.to_pylist())))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.where(judge(text_or_empty(text)) >= least)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:

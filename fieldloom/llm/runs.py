@@ -30,6 +30,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             n = max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), TOGETHER, "right")))
             yield batch.slice(begin, n)
             begin += n
+    pa.default_memory_pool().release_unused()  # a worker stays for later stages
 
 
 def offsets(texts: pa.Array) -> np.ndarray:
