@@ -19,6 +19,7 @@ nothing; texts of any length are treated whole; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -90,7 +91,10 @@ def pieces(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         sums = np.zeros(len(x) + 1, "u8")
         np.cumsum(x * up[: len(x)], out=sums[1:], dtype="u8")
         gram = mixed((sums[GRAM:] - sums[:-GRAM]) * down[:n_grams])
-        near = np.lib.stride_tricks.sliding_window_view((gram & ~MASK) | (MASK - np.arange(n_grams, dtype="u8")), SPREAD).min(1)
+        near, span = (gram & ~MASK) | (MASK - np.arange(n_grams, dtype="u8")), 1
+        while 2 * span <= SPREAD:
+            near, span = np.minimum(near[:-span], near[span:]), 2 * span
+        near = np.minimum(near[:n], near[SPREAD - span :][:n])
         anchor = (MASK - (near & MASK)).astype("i8")
         fresh = np.ones(n, bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (own[1:n] != own[: n - 1])
@@ -292,7 +296,11 @@ def covered(key: tuple, own: pa.Table, reference: pa.Table) -> pa.Table:
     n_own = len(texts.dictionary)
     flat = ids.tolist()
     sequences = [flat[a:b] for a, b in zip(bounds[n_own:-1].tolist(), bounds[n_own + 1 :].tolist(), strict=True)]
-    machine = Automaton(sequences, reference["d"].to_pylist(), len(coded.dictionary))
+    gc.disable()  # states are many small tables without cycles, which the collector would look through again and again
+    try:
+        machine = Automaton(sequences, reference["d"].to_pylist(), len(coded.dictionary))
+    finally:
+        gc.enable()
     table = np.zeros((n_own, int(n[:n_own].max())), "i8")
     table[np.arange(table.shape[1]) < n[:n_own, None]] = ids[: bounds[n_own]]
     ends = machine.matched(table, n[:n_own])[:, LENGTH - 1 :]
@@ -333,10 +341,15 @@ def gone(n: int, spans: list[dict] | None) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, text: str, **how) -> DataFrame:
-    """(_row, _text, _spans): _row holds all columns of docs."""
+    """(_row, _text, _spans): _row holds all columns of docs. Texts move only where words go, unless very many documents lose some."""
     own = docs.select(F.struct(*docs.columns).alias("_row"), *keyed_columns(text))
     spans = repeats(keyed(docs, text), **how).withColumnsRenamed({"spans": "_spans", "d": "_d", "t": "_t"})
-    return own.join(spans, ["_d", "_t"], "left").select("_row", "_text", "_spans")
+    keys, columns = spans.select("_d", "_t"), ["_row", "_text", "_spans"]
+    if (found := small(keys)) is keys:
+        return own.join(spans, ["_d", "_t"], "left").select(columns)
+    touched = own.join(found, ["_d", "_t"], "left_semi").join(spans, ["_d", "_t"])
+    rest = own.join(found, ["_d", "_t"], "left_anti").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))
+    return touched.select(columns).unionByName(rest.select(columns))
 
 
 def keyed_columns(text: str) -> list:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldloom.llm import automata, divergence, runs, whitening
+from fieldloom.llm import automata, divergence, runs, shared, whitening
 
 # runs
 
@@ -222,6 +222,13 @@ def test_substring_dedup_matches_brute_force(spark, odd_docs, how):
     assert got == brute_windows(rows)
 
 
+def test_documents_that_lose_words_are_found_by_broadcast_or_shuffle(spark, monkeypatch):
+    rows = planted(random.Random(13))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    assert sorted((tuple(r) for r in automata.digests(df).collect()), key=str) == brute_windows(rows)
+
+
 def test_substring_dedup_keeps_rows_and_columns(spark, odd_docs, no_docs):
     rows = planted(random.Random(12))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _d", "2 AS _spans")
