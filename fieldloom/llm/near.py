@@ -33,7 +33,7 @@ from fieldloom.llm.simhash import majority
 
 SHINGLE, JACCARD, SEED = 5, 0.8, 42
 TABLES, PARTS, FAR = 6, 4, 72
-WIDTH, BLOCK = 4, 1024
+WIDTH, BLOCK = 2, 1024
 #: Rows of an Arrow batch out, and shingles worked on at once.
 SLICE, CHUNK = 500, 1 << 16
 LEAST = -(2**63)
