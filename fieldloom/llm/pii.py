@@ -5,21 +5,24 @@ spans in looser forms. What fails the check of its kind is refuted and never add
 corpus itself. Base spans are positive, and so are the looser forms written from them (a phone number without its plus, a card in dots, [at] and [dot]), in
 the context of the original. Negative are matches and candidates that fail their check, in their own context. No feature tells what a check tells (Luhn, octets, numbers of digits, dates, endings of
 addresses), so the trees can't repeat the checks: they learn in what forms and beside what words candidates turn out right, and a candidate that passes its check by chance, such as an order number, looks like the many
-beside it that don't. Candidates that no check refutes have no label: they teach nothing and are what the trees are asked about. MLlib fits the trees and
-they are compiled into a column expression. A threshold for each kind is calibrated on candidates kept from training, at a
+beside it that don't. Candidates that no check refutes have no label: they teach nothing and are what the trees are asked about. MLlib fits the trees to
+all that have one and they are compiled into a column expression. A threshold for each kind is calibrated on all of them, each scored by trees fitted without it, at a
 precision asked for. Candidates over the threshold that touch no base span and no span added before them are added; base spans always stay.
 
 Edge cases: a null text is empty and has no spans; positions are code points, ends exclusive; repeated rows are judged one by one; texts of any length
-are searched whole, in time that is in proportion to their length (but for chains of overlapping candidates, which take the square of a chain's); without candidates of both classes nothing is added; an empty table gives an empty table.
+are searched whole, in time that is in proportion to their length (but for chains of overlapping candidates, which take the square of a chain's); without candidates of both classes and of several texts or contexts nothing is added; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from fieldloom.llm.rules import bind
 from fieldloom.llm.shared import materialize, text_or_empty
@@ -50,8 +53,8 @@ KEYWORDS = (
 )
 OTHERS = r"(?i)(?:order|bestell|invoice|rechnung|factur|ref\b|\bid\b|\bnr\b|\bno\b|num|version|\bv\b|release|isbn|serial|ticket|account|konto|item|code|price|total)"
 BEFORE, AFTER, BLOCK = 24, 4, 64
-#: Candidates that the trees are fitted on, at most, on average.
-TRAIN_ROWS = 20_000
+#: Parts of the candidates that are left out in turn for the thresholds, and the candidates that a leaf has at least.
+FOLDS, LEAF = 4, 5
 FEATURES = ("kind", "n_runs", "longest_run", "n_marks", "n_letters", "brackets", "plus", "left_word", "right_word", "keyword", "other_kind", "other_sort")
 
 
@@ -221,9 +224,11 @@ def read_tree(node):
 
 
 def fit(found: DataFrame, precision: float = 0.995, rounds: int = 12, seed: int = 42) -> Judge:
-    """Fit trees to three quarters of a bounded sample of labelled candidates and calibrate thresholds on the rest.
+    """Fit trees to all labelled candidates and calibrate thresholds on all of them, each scored by trees that were fitted without its fold.
 
-    A threshold lies halfway between the smallest score at which `precision` of the kind's candidates at or above it are positive and the next score below, at 0.5 or more.
+    Candidates alike in features, label and fold are one row with their number as its weight: MLlib's sums are those over the candidates one by one. Those
+    of equal text and context share a fold. A threshold lies halfway between the smallest score at which `precision` of the kind's candidates at or above
+    it are positive and the next score below, at 0.5 or more.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -231,31 +236,42 @@ def fit(found: DataFrame, precision: float = 0.995, rounds: int = 12, seed: int
     # digits too few or too many for a card are no example of what a card isn't: only numbers that fail for their check digit are
     length = F.char_length(digits(F.col("c.m")))
     one = found.select(F.explode(F.filter("cands", lambda c: c["label"].isNotNull())).alias("c")).where((F.col("c.k") != KINDS.index("card")) | length.between(16, 19))
-    n = one.count()
-    share = min(1.0, TRAIN_ROWS / max(n, 1))
-    one = one.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), "c.m", "c.left", "c.right"), F.lit(1_000_000))).where(F.col("_h") < share * 1_000_000)
+    one = one.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "c.m", "c.left", "c.right"), F.lit(FOLDS)).cast("int"))
     # base patterns' matches, right or wrong, also in a looser form
     forms = F.when(F.col("c.label") == 1, loosened(F.col("c.k"), F.col("c.m"))).otherwise(F.array(F.col("c.m"), F.regexp_replace("c.m", r"^\+", "")))
-    rows = one.select("_h", "c.label", F.explode(F.array_distinct(forms)).alias("m"), F.col("c.k").alias("k"), F.col("c.left").alias("left"), F.col("c.right").alias("right")).select("_h", "label", F.struct("m", "k", "left", "right").alias("c"))
-    rows = materialize(rows.select("label", (F.col("_h") % 4 == 0).alias("rest"), *[x.alias(name) for name, x in features(F.col("c")).items()]), "candidates")
-    classes = rows.where("NOT rest").agg(F.min("label"), F.max("label")).first()
-    if classes[0] == classes[1]:
+    rows = one.select("fold", "c.label", F.explode(F.array_distinct(forms)).alias("m"), F.col("c.k").alias("k"), F.col("c.left").alias("left"), F.col("c.right").alias("right")).select("fold", "label", F.struct("m", "k", "left", "right").alias("c"))
+    rows = rows.select("fold", "label", *[x.alias(name) for name, x in features(F.col("c")).items()])
+    rows = materialize(rows.groupBy("fold", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")), "candidates")
+    sizes = rows.groupBy("fold", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # 2 x FOLDS at most
+    folds = sorted({r["fold"] for r in sizes})
+    if len({r["label"] for r in sizes}) < 2 or len(folds) < 2:
         return Judge()
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.3, seed=seed, minInstancesPerNode=5).fit(vectors.where("NOT rest"))
-    trees = tuple((float(w), read_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True))
-    score = Judge(trees).score({name: F.col(name) for name in FEATURES})
-    bins = rows.where("rest").groupBy("kind", F.round(score, 3).alias("s")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # 4 x 1001 at most
+    # MLlib looks for splits in a sample of max(bins^2, 10,000) rows: with so many bins it reads all of them
+    bins = max(32, ceil(sqrt(sum(r["rows"] for r in sizes))))
+
+    def trees(left_out: int | None) -> tuple:
+        used = [f for f in folds if f != left_out]
+        least = min((LEAF - 0.5) / sum(r["n"] for r in sizes if r["fold"] in used), 0.499)  # weights are whole numbers
+        gbt = GBTClassifier(weightCol="n", maxIter=rounds, maxDepth=4, stepSize=0.3, seed=seed, minWeightFractionPerNode=least, maxBins=bins)
+        model = gbt.fit(vectors.where(F.col("fold").isin(used)))
+        return tuple((float(w), read_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True))
+
+    with ThreadPoolExecutor(2) as pool:  # many short jobs each: two side by side, as MLlib's own validators run them
+        *parts, whole = pool.map(inheritable_thread_target(found.sparkSession)(trees), [*folds, None])
+    columns = {name: F.col(name) for name in FEATURES}
+    score = F.coalesce(*[F.when(F.col("fold") == k, Judge(part).score(columns)) for k, part in zip(folds, parts, strict=True)])
+    scores = rows.groupBy("kind", F.round(score, 3).alias("s")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()  # 4 x 1001 at most
     thresholds = []
     for k in range(len(KINDS)):
         best, good, all_ = 2.0, 0.0, 0
-        own = sorted((r for r in bins if r["kind"] == k), key=lambda r: -r["s"])
+        own = sorted((r for r in scores if r["kind"] == k), key=lambda r: -r["s"])
         for r, below in zip(own, [*(x["s"] for x in own[1:]), 0.0], strict=False):
             good, all_ = good + r["good"], all_ + r["n"]
             if good >= precision * all_:
                 best = max((r["s"] + below) / 2, 0.5)
         thresholds.append(best)
-    return Judge(trees, tuple(thresholds))
+    return Judge(whole, tuple(thresholds))
 
 
 SPANS = "array<struct<s:bigint,e:bigint,k:int>>"

@@ -10,6 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldloom.llm import bpe, lines, pii, rules, simhash, suffix, tokens
@@ -373,6 +377,37 @@ def test_context_refuses_what_passes_every_check(spark):
     assert any(t not in (0.5, 2.0) for t in judge.thresholds)
 
 
+def test_trees_learn_from_every_candidate(spark, monkeypatch):
+    """Two dozen cards and as many order numbers among 200,000 phone numbers decide what is done with loose forms, and trees are those that MLlib fits to the candidates one by one."""
+    rng = np.random.default_rng(8)
+    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card(valid=True):
+        d = str(rng.integers(1, 10)) + num(14)
+        return next(d + c for c in "0123456789" if luhn(d + c) == valid)
+
+    dotted = lambda c: f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}"
+    phones = rng.integers(10**9, 10**10, (2000, 100))
+    rows = [(k, " then ".join(f"tel +1 ({p // 10**7}) {p // 10**4 % 1000:03d}-{p % 10**4:04d}" for p in row)) for k, row in enumerate(phones.tolist())]
+    rows += [(10_000 + k, f"she pays by visa {card()} for it") for k in range(24)] + [(11_000 + k, f"see the order {dotted(card(False))} for it") for k in range(24)]
+    rows += [(12_000 + k, f"she pays by visa {dotted(card())} for it") for k in range(20)] + [(13_000 + k, f"see the order {dotted(card())} for it") for k in range(20)]
+    tables = []
+    monkeypatch.setattr(pii, "materialize", lambda df, name, store=pii.materialize: tables.append((name, store(df, name))) or tables[-1][1])
+    found, judge = pii.spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    added = {r["doc_id"]: [pii.KINDS[x["k"]] for x in r["added"]] for r in found.where("doc_id >= 12000").collect()}
+    assert sum(added[12_000 + k] == ["card"] for k in range(20)) == 20 and sum("card" in added[13_000 + k] for k in range(20)) == 0
+
+    learnt = dict(tables)["candidates"]
+    n = {(int(r["kind"]), int(r["label"])): r["n"] for r in learnt.groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()}
+    # a phone number, without its plus, and without the code; a card, and in dots; dotted orders are found by the looser pattern only
+    assert n[3, 1] == 3 * 200_000 and n[2, 1] == 2 * 24 and n[2, 0] == 24
+    assembler = VectorAssembler(inputCols=list(pii.FEATURES), outputCol="features")
+    one_by_one = learnt.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=42, minInstancesPerNode=5).fit(assembler.transform(one_by_one))
+    scores = model.transform(assembler.transform(learnt)).select(vector_to_array("probability")[1].alias("want"), judge.score({c: F.col(c) for c in pii.FEATURES}).alias("got")).collect()
+    assert all(abs(r["want"] - r["got"]) < 1e-9 for r in scores)
+
+
 def test_chains_lose_no_spans(spark):
     """Of spans that overlap like links of a chain, each that is clear of the one added before it stays."""
     judge = pii.Judge(((1.0, 5.0),), (0.5,) * 4)
